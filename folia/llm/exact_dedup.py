@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.common import broadcast_if_small, cut
+
 
 def content_hash(text: Column) -> Column:
     """128 bits."""
@@ -20,23 +22,26 @@ def exact_groups(docs: DataFrame, keep: str = "min", hashed: Callable[[Column],
     and each counts in group_size. A null doc_id stays only in a group that has no other; keep_id is null there. An
     empty table gives no rows.
 
-    The aggregate by hash is slim and is pre-aggregated by each task. Then each text meets the text of the lowest
-    row under its hash, in a join that Spark splits where it is skewed, and their bytes are compared. Rows whose
-    bytes differ (a collision) are grouped by the bytes themselves.
+    The aggregate by hash is slim and is pre-aggregated by each task. Only rows of a repeated hash move with their
+    text: to the text of the lowest row under that hash, in a join that Spark splits where it is skewed. There the
+    bytes are compared, and rows whose bytes differ (a collision) are grouped by the bytes themselves.
     """
     pick = {"min": F.min, "max": F.max}[keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", hashed(F.col("text")).alias("h"))
-    repeated = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
-    # one text for each repeated hash; where no row has an id, or several rows have the lowest, any one of them
-    stands = rows.join(repeated, "h").where("doc_id <=> low").groupBy("h").agg(F.min("text").alias("stands"))
-    told = rows.join(stands, "h", "left").select(
-        "doc_id",
-        "h",
-        F.sha2("text", 256).alias("text_sha256"),
-        F.when(F.col("text") != F.col("stands"), F.col("text")).alias("other"),
-    )
+    rows = rows.select("doc_id", "text", hashed(F.col("text")).alias("h"), F.sha2("text", 256).alias("text_sha256"))
+    repeated = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
+    marked = rows.join(broadcast_if_small(repeated), "h", "left")
+    members = marked.where("n is not null")
+    # where no row has an id, or several rows have the lowest, any one text of them
+    stands = members.where("doc_id <=> low").groupBy("h").agg(F.min("text").alias("stands"))
+    differs = F.when(F.col("text") != F.col("stands"), F.col("text"))
+    told = cut(members.join(stands, "h").select("doc_id", "h", "text_sha256", differs.alias("other")))
     same = told.groupBy("h", "other").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
-    return told.join(same, on=(told["h"] == same["h"]) & told["other"].eqNullSafe(same["other"])).select(
+    same = same.select(F.col("h").alias("g"), F.col("other").alias("o"), "group_size", "keep_id")
+    grouped = told.join(same, F.col("h").eqNullSafe(F.col("g")) & F.col("other").eqNullSafe(F.col("o"))).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+    alone = marked.where("n is null").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+    )
+    return alone.unionByName(grouped)
