@@ -65,5 +65,5 @@ def text_only(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """Tells rows of equal id and different text apart; equal rows share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """Tells rows of equal id and different text apart; equal rows share it, and so do a null and an empty text."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))

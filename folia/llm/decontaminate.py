@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -67,8 +66,8 @@ def _batches_of(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object,
     yield held
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = AUTOMATON_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans and item_ids of every document.
+def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = AUTOMATON_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in carry, n_words, n_hit, spans and item_ids of every document.
 
     An item's windows are its runs of `size` words, or all its words if it has fewer; spans are the merged word
     ranges (first, after the last) that occurrences cover, with their byte offsets in the original text; item_ids
@@ -79,9 +78,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most:
     scanning all documents, and the parts' results are merged.
     """
     spark, parts = docs.sparkSession, []
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, copy bigint, n_words bigint, words array<array<bigint>>, bytes array<array<bigint>>, items array<string>"
-    rows = text_only(docs.withColumn("copy", F.monotonically_increasing_id()), "copy")
+    own = ["doc_id", *carry, "copy"]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own[:-1])
+    schema = f"{kinds}, copy bigint, n_words bigint, words array<array<bigint>>, bytes array<array<bigint>>, items array<string>"
+    rows = text_only(docs.withColumn("copy", F.monotonically_increasing_id()), *carry, "copy")
     for items in _batches_of(benchmark, most):
         shared = spark.sparkContext.broadcast((items, size))
 
@@ -105,8 +105,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most:
                 pairs = pa.list_(pa.list_(pa.int64()))
                 kinds = [pa.int64(), pairs, pairs, pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("copy"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                    ["doc_id", "copy", "n_words", "words", "bytes", "items"],
+                    [*(b.column(c) for c in own), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                    [*own, "n_words", "words", "bytes", "items"],
                 )
 
         parts.append(rows.mapInArrow(run, schema))
@@ -118,7 +118,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most:
             p = cut(p)
             merged = p if merged is None else merged.unionByName(p)
         lists = {c: F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("words", "bytes")}
-        merged = merged.groupBy("doc_id", "copy").agg(
+        merged = merged.groupBy(*own).agg(
             F.first("n_words").alias("n_words"), *lists.values(), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )
         for c in ("words", "bytes"):
@@ -128,8 +128,4 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most:
                 " concat(a, array(x))))"
             ))
     hit = F.expr("aggregate(words, 0L, (a, x) -> a + x[1] - x[0])")
-    return merged.select("doc_id", "n_words", hit.alias("n_hit"), F.col("words").alias("spans"), F.col("bytes").alias("byte_spans"), F.col("items").alias("item_ids"))
-
-
-def items_digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(item_ids).encode()).hexdigest()
+    return merged.select("doc_id", *carry, "n_words", hit.alias("n_hit"), F.col("words").alias("spans"), F.col("bytes").alias("byte_spans"), F.col("items").alias("item_ids"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import broadcast_if_small, cut
+from folia.llm.common import broadcast_if_small, cut, row_key
 
 
 def content_hash(text: Column) -> Column:
@@ -16,7 +16,7 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row; keep is "min" or "max": which doc_id stays.
+    """doc_id, row_key (see common), keep_id, group_size, kept, text_sha256 for each row; keep is "min" or "max": which doc_id stays.
 
     A null text counts as empty, and equals an empty one. Rows of equal doc_id and text are all kept or all dropped,
     and each counts in group_size. A null doc_id stays only in a group that has no other; keep_id is null there. An
@@ -28,20 +28,20 @@ def exact_groups(docs: DataFrame, keep: str = "min", hashed: Callable[[Column],
     """
     pick = {"min": F.min, "max": F.max}[keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", hashed(F.col("text")).alias("h"), F.sha2("text", 256).alias("text_sha256"))
+    rows = rows.select("doc_id", row_key().alias("row_key"), "text", hashed(F.col("text")).alias("h"), F.sha2("text", 256).alias("text_sha256"))
     repeated = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
     marked = rows.join(broadcast_if_small(repeated), "h", "left")
     members = marked.where("n is not null")
     # where no row has an id, or several rows have the lowest, any one text of them
     stands = members.where("doc_id <=> low").groupBy("h").agg(F.min("text").alias("stands"))
     differs = F.when(F.col("text") != F.col("stands"), F.col("text"))
-    told = cut(members.join(stands, "h").select("doc_id", "h", "text_sha256", differs.alias("other")))
+    told = cut(members.join(stands, "h").select("doc_id", "h", "row_key", "text_sha256", differs.alias("other")))
     same = told.groupBy("h", "other").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
     same = same.select(F.col("h").alias("g"), F.col("other").alias("o"), "group_size", "keep_id")
     grouped = told.join(same, F.col("h").eqNullSafe(F.col("g")) & F.col("other").eqNullSafe(F.col("o"))).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "row_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     alone = marked.where("n is null").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        "doc_id", "row_key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     return alone.unionByName(grouped)

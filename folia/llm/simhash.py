@@ -60,17 +60,19 @@ def fingerprint(text: bytes, size: int, bits: int) -> bytes:
     return np.packbits(ones * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64) -> DataFrame:
-    """doc_id, fp (binary, most significant bit first). No words (or null text): all bits zero."""
+def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in carry, fp (binary, most significant bit first). No words: all bits zero."""
     assert bits % 64 == 0
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t, size, bits) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            kept = ["doc_id", *carry]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fps, pa.binary())], [*kept, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_only(docs).mapInArrow(run, f"doc_id {kind}, fp binary")
+    rows = text_only(docs, *carry)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    return rows.mapInArrow(run, f"{kinds}, fp binary")
 
 
 def exact_blocks(bits: int, radius: int, n: int) -> list[np.ndarray]:
@@ -247,17 +249,18 @@ def simhash_components(
     tables: int | None = None,
     width: int = 16,
     slot: int = SLOT,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most radius bits.
+    """doc_id, the columns named in carry, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most radius bits.
 
     tables None: candidates by exact_blocks(), which miss nothing. Else by sampled_blocks(). Equal fingerprints are
     compared once. A null text has no words. Rows of equal doc_id each count; a null doc_id names no component, and
     a component of such rows alone has a null id. An empty table gives no rows.
     """
-    held = cut(fingerprints(docs, words, bits))
+    held = cut(fingerprints(docs, words, bits, carry))
     nodes = cut(held.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")))
     known = nodes.where("node is not null")
     blocks = sampled_blocks(bits, width, tables) if tables else exact_blocks(bits, radius, known.count())
     found = connected_components(links(known, blocks, bits, radius, slot))
     group = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return held.join(group, "fp").select("doc_id", "fp", "component_id")
+    return held.join(group, "fp").select("doc_id", *carry, "fp", "component_id")
