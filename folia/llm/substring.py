@@ -129,7 +129,7 @@ def sketch(docs: DataFrame, window: int, rows: int = ROWS, width: int = CELLS) -
         if now:
             yield pa.RecordBatch.from_pylist([{"r": now[0], "k": now[1], "cells": _packed(total)}])
 
-    schema = "r int, k int, cells binary"
+    schema = "r bigint, k bigint, cells binary"
     sent = text_only(docs).select("text").mapInArrow(fill, schema)
     merged = sent.repartition("r", "k").sortWithinPartitions("r", "k").mapInArrow(merge, schema)
     return {(x.r, x.k): bytes(x.cells) for x in merged.toLocalIterator()}
