@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from folia.plans import native_queries
+
+QUERIES: dict = dict(native_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(native_queries.SQL)
