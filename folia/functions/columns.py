@@ -266,3 +266,19 @@ def error_class(message: Column) -> Column:
         .when(low.rlike("no space left|disk full"), "disk_full").when(low.rlike("too many open files"), "fd_exhausted")
         .when(low.rlike("cancel"), "cancelled").when(low.rlike("oserror|permission|errno"), "os").otherwise("other")
     )
+
+
+def citation_style(text: Column) -> Column:
+    """footnote, raised or caret: the style that the text has most of, the first of equal ones; keep under two."""
+    f, s, c = (F.regexp_count(text, F.lit(p)) for p in (r"\[\^\d+\](?!:)", r"<sup>\d[\d,\s]*</sup>", r"\^\d+\^"))
+    return F.when(f + s + c < 2, "keep").when((f >= s) & (f >= c), "footnote").when(s >= c, "raised").otherwise("caret")
+
+
+def last_part(text: Column, most: int = 4000) -> Column:
+    """The whole text, or an ellipsis and its end."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.lit("…"), F.right(text, F.lit(most - 1))))
+
+
+def chunk_cap(text: Column, most: int, least: int = 2048) -> Column:
+    """Output tokens for a chunk: two and a half times its own, within bounds."""
+    return F.greatest(F.lit(least), F.least((F.floor(F.length(text) / 4) * 2.5).cast("int"), F.lit(most)))

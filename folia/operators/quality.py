@@ -44,21 +44,63 @@ def recent_errors(results: DataFrame, bad: str, seconds: int, keys: tuple[str, .
     return results.withColumn("recent", F.count_if(F.col("status") == bad).over(line))
 
 
-def first_ok(attempts: DataFrame) -> DataFrame:
-    """Of each page's attempts (doc_id, page, attempt, rung, verdict, text), the first that is ok, else the last; with
-    the status that follows: ok, ok_coerced if a later rung gave it, degenerate or overlong_failed by the last verdict, else
-    failed. max_by keeps this an aggregate without a sort."""
-    best = F.max_by(
-        F.struct("attempt", "rung", "verdict", "text"),
-        F.struct((F.col("verdict") == "ok").cast("int"), F.when(F.col("verdict") == "ok", -F.col("attempt")).otherwise(F.col("attempt"))),
+def first_ok(attempts: DataFrame, least_chars: int = 300, least_share: float = 0.02, ink: float = 0.0048) -> DataFrame:
+    """One result for each page of attempts (doc_id, page, attempt, rung, verdict, text; optionally chars, the content of
+    a parsed attempt, and ink, the share of dark pixels of its page).
+
+    The first attempt that is ok counts: status ok, or ok_coerced from a later rung. A later rung that says hardly
+    anything after a long first attempt is coerced_empty, unless the page is nearly blank. Without an ok attempt the
+    first one's verdict names the failure. max_by keeps this an aggregate without a sort.
+    """
+    has = set(attempts.columns)
+    a = attempts.select(
+        "doc_id", "page", "attempt", "rung", "verdict", "text", (F.col("chars") if "chars" in has else F.lit(None).cast("bigint")).alias("chars"),
+        (F.col("ink") if "ink" in has else F.lit(None).cast("double")).alias("ink"),
     )
-    got = attempts.groupBy("doc_id", "page").agg(best.alias("best"), F.count("*").alias("model_calls"))
-    v = F.col("best.verdict")
-    status = (
-        F.when((v == "ok") & (F.col("best.attempt") == 1), "ok").when(v == "ok", "ok_coerced").when(v == "degenerate", "degenerate")
-        .when(v == "length", "overlong_failed").when(v == "empty", "empty_completion").otherwise("failed")
+    good = F.when(F.col("verdict") == "ok", F.struct("attempt", "rung", "text", "chars"))
+    got = a.groupBy("doc_id", "page").agg(
+        F.min_by(good, F.when(F.col("verdict") == "ok", F.col("attempt"))).alias("best"), F.min_by(F.struct("verdict", F.length("text").alias("n")), "attempt").alias("first"),
+        F.max_by(F.struct("rung", "text"), "attempt").alias("final"), F.count("*").alias("model_calls"), F.max("ink").alias("ink"),
     )
-    return got.select("doc_id", "page", status.alias("status"), F.col("best.rung").alias("rung"), "model_calls", F.col("best.text").alias("text"))
+    later = F.col("best.attempt") > 1
+    slop = later & (F.col("best.chars") < least_chars) & (F.col("best.chars") < least_share * F.col("first.n")) & ~F.coalesce(F.col("ink") < ink, F.lit(False))
+    slop = F.coalesce(slop, F.lit(False))
+    failed = F.when(F.col("first.verdict") == "length", "overlong_failed").when(F.col("first.verdict") == "degenerate", "degenerate")
+    failed = failed.when(F.col("first.verdict") == "empty", "empty_completion").otherwise("failed")
+    status = F.when(F.col("best").isNull(), failed).when(slop, "coerced_empty").when(later, "ok_coerced").otherwise("ok")
+    kept = F.col("best").isNotNull() & ~slop
+    return got.select(
+        "doc_id", "page", status.alias("status"), F.coalesce("best.rung", "final.rung").alias("rung"), "model_calls", F.when(kept, F.col("best.text")).alias("text")
+    )
+
+
+def rescued_by(results: DataFrame, value: str = "rung", kinds: list[str] = RESCUED) -> DataFrame:
+    """A column for each kind, zeros included."""
+    return results.groupBy("doc_id").agg(*[F.count_if(F.col(value) == k).alias(k) for k in kinds])
+
+
+def telemetry(results: DataFrame) -> DataFrame:
+    """doc_id, pages: a document's results in order, as one array of structs."""
+    return results.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "status", "attempts"))).alias("pages"))
+
+
+def flags(tokens: DataFrame, most: int = 100) -> DataFrame:
+    """tokens: doc_id, seq, where, token. Each distinct token with its number of fields and its first one; per document
+    the first `most` by order of appearance."""
+    merged = tokens.groupBy("doc_id", "token").agg(F.count_distinct("where").alias("fields"), F.min_by("where", "seq").alias("first_in"), F.min("seq").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "token"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= most).drop("at")
+
+
+def running_most(results: DataFrame, value: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The largest value that each key has had up to each result."""
+    line = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return results.withColumn("most", F.max(value).over(line))
+
+
+def without_artifacts(figures: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Figures less those that a verdict calls artifacts; an error or a missing verdict keeps them."""
+    return figures.join(verdicts.where("verdict = 'artifact'").select("figure_id"), "figure_id", "left_anti")
 
 
 def verdict(finish, text_blank, ratio, parsed, schema_ok, gate: float = 7.0):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folia.plans import native_queries, python_queries
+from folia.plans import more_queries, native_queries, python_queries
 
-QUERIES: dict = native_queries.QUERIES | python_queries.QUERIES
-ORACLE_SQL: dict[str, str] = dict(native_queries.SQL)
+QUERIES: dict = native_queries.QUERIES | more_queries.QUERIES | python_queries.QUERIES
+ORACLE_SQL: dict[str, str] = native_queries.SQL | more_queries.SQL
