@@ -8,12 +8,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folia.functions import completions, html_text, latex, markdown
 from folia.functions.columns import CJK
 
 
-def per_text(f: Callable, kind: str) -> Callable[..., Column]:
+def per_text(f: Callable, kind: T.DataType) -> Callable[..., Column]:
     """A column function that applies f to each row's text; null stays null."""
 
     @F.pandas_udf(kind)
@@ -23,27 +24,24 @@ def per_text(f: Callable, kind: str) -> Callable[..., Column]:
     return run
 
 
-postprocessed = per_text(markdown.postprocess, "string")
-deduplicated = per_text(lambda t: markdown.postprocess(t, True), "string")
-wrapped_latex = per_text(latex.wrap, "string")
-html_markdown = per_text(html_text.markdown, "string")
-flat_table = per_text(html_text.flat_table, "string")
-widest_row = per_text(html_text.widest_row, "int")
-compression = per_text(completions.compression, "double")
-content_compression = per_text(lambda t: completions.compression(completions.unmarked(t)), "double")
-periodic_score = per_text(lambda t: completions.periodic(t)["score"], "bigint")
-repeated_score = per_text(lambda t: completions.repeated(t)["score"], "bigint")
+postprocessed = per_text(markdown.postprocess, T.StringType())
+deduplicated = per_text(lambda t: markdown.postprocess(t, True), T.StringType())
+wrapped_latex = per_text(latex.wrap, T.StringType())
+html_markdown = per_text(html_text.markdown, T.StringType())
+flat_table = per_text(html_text.flat_table, T.StringType())
+widest_row = per_text(html_text.widest_row, T.IntegerType())
+compression = per_text(completions.compression, T.DoubleType())
+content_compression = per_text(lambda t: completions.compression(completions.unmarked(t)), T.DoubleType())
+periodic_score = per_text(lambda t: completions.periodic(t)["score"], T.LongType())
+repeated_score = per_text(lambda t: completions.repeated(t)["score"], T.LongType())
 
 
-def struct_of(f: Callable[[str], dict], schema: str) -> Callable[..., Column]:
-    @F.pandas_udf(schema)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([f(t if t is not None else "") for t in texts])
-
-    return run
+def struct(**fields: T.DataType) -> T.StructType:
+    """Types as objects, since a schema in text needs a session to parse it."""
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-@F.pandas_udf("struct<verdict string, error string, chars bigint>")
+@F.pandas_udf(struct(verdict=T.StringType(), error=T.StringType(), chars=T.LongType()))
 def gate(text: pd.Series, finish: pd.Series) -> pd.DataFrame:
     rows = []
     for t, f in zip(text, finish, strict=True):
@@ -53,7 +51,7 @@ def gate(text: pd.Series, finish: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["verdict", "error", "chars"])
 
 
-@F.pandas_udf("struct<value string, error string>")
+@F.pandas_udf(struct(value=T.StringType(), error=T.StringType()))
 def lenient_json(text: pd.Series) -> pd.DataFrame:
     import json
 

@@ -21,6 +21,7 @@ def page_results(completions: DataFrame) -> DataFrame:
 
 def documents(pages: DataFrame, budget: int = 4000) -> DataFrame:
     """doc_id, title, doc_type, summary, n_pages, markdown of each document of page results."""
+    pages = pages.persist()  # five aggregates read it; the gate and its Python run once
     chunks = document.units(pages, "semantic_chunks")
     figures = document.units(pages, "figures").withColumn("index", F.col("nth")).withColumn("crop_path", F.lit(None).cast("string"))
     units = document.markdown_units(chunks, document.units(pages, "tables"), figures)

@@ -10,8 +10,9 @@ import io
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folia.functions import html_text
+from folia.functions import arrow, html_text
 from folia.functions.columns import doc_hash, file_class
 from folia.sources import msg, sheets
 
@@ -63,7 +64,7 @@ READERS = {
 }
 
 
-@F.pandas_udf("struct<text string, error string>")
+@F.pandas_udf(arrow.struct(text=T.StringType(), error=T.StringType()))
 def _read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = []
     for p, raw in zip(path, content, strict=True):
