@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from folia.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from folia.llm.common import broadcast_if_small, cut, fresh_path, row_key
 
-#: SimHash of the near-duplicate stage: shingles of five words, and fingerprints of 256 bits. Vectors at an angle t
-#: differ in t / pi of the bits; a Jaccard similarity J of shingle sets is a cosine of 2 J / (1 + J), so 0.8 is an
-#: angle of 0.476 and 38.8 bits.
-NEAR = {"words": 5, "bits": 256, "radius": 38, "tables": 24, "width": 16}
+#: SimHash of the near-duplicate stage: sets of five-word shingles, fingerprints of 256 bits, and a similarity, the
+#: share of equal bits, of 0.8 or more (51 bits may differ). Sets of a Jaccard similarity J differ in about
+#: arccos(2 J / (1 + J)) / pi of the bits, so 0.8 there is 39 bits and the radius leaves room for chance. Candidates
+#: share 14 chosen bits in one of 32 tables, which all but a few in a hundred of such pairs do.
+NEAR = {"words": 5, "bits": 256, "radius": 51, "tables": 32, "width": 14, "repeats": False}
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -49,10 +49,15 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, size: int, bits: int) -> bytes:
-    """A bit is 1 if it is set in over half of the shingle hashes; the first 64 bits are those of XXH64 itself."""
+def fingerprint(text: bytes, size: int, bits: int, repeats: bool = True) -> bytes:
+    """A bit is 1 if it is set in over half of the shingle hashes; the first 64 bits are those of XXH64 itself. Without
+    repeats each distinct shingle counts once."""
     ones, n = np.zeros(bits, np.int64), 0
-    for h in shingle_hashes(text.translate(LOWER).split(), size):
+    hashes = shingle_hashes(text.translate(LOWER).split(), size)
+    if not repeats:
+        whole = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        hashes = (whole[a : a + STEP] for a in range(0, len(whole), STEP))
+    for h in hashes:
         n += len(h)
         for k in range(bits // 64):
             part = (_mixed(h, k) if k else h).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -60,13 +65,15 @@ def fingerprint(text: bytes, size: int, bits: int) -> bytes:
     return np.packbits(ones * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, size: int = 4, bits: int = 64, carry: tuple[str, ...] = (), repeats: bool = True
+) -> DataFrame:
     """doc_id, the columns named in carry, fp (binary, most significant bit first). No words: all bits zero."""
     assert bits % 64 == 0
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, size, bits) for t in b.column("text").to_pylist()]
+            fps = [fingerprint(t, size, bits, repeats) for t in b.column("text").to_pylist()]
             kept = ["doc_id", *carry]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fps, pa.binary())], [*kept, "fp"])
 
@@ -250,14 +257,15 @@ def simhash_components(
     width: int = 16,
     slot: int = SLOT,
     carry: tuple[str, ...] = (),
+    repeats: bool = True,
 ) -> DataFrame:
     """doc_id, the columns named in carry, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most radius bits.
 
     tables None: candidates by exact_blocks(), which miss nothing. Else by sampled_blocks(). Equal fingerprints are
-    compared once. A null text has no words. Rows of equal doc_id each count; a null doc_id names no component, and
+    compared once. repeats says whether a shingle counts as often as it occurs. A null text has no words. Rows of equal doc_id each count; a null doc_id names no component, and
     a component of such rows alone has a null id. An empty table gives no rows.
     """
-    held = cut(fingerprints(docs, words, bits, carry))
+    held = cut(fingerprints(docs, words, bits, carry, repeats))
     nodes = cut(held.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")))
     known = nodes.where("node is not null")
     blocks = sampled_blocks(bits, width, tables) if tables else exact_blocks(bits, radius, known.count())
