@@ -152,7 +152,7 @@ class Scorer:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, s: Settings = Settings()) -> Model:
     """A model from at most `rows` labelled documents; labels has doc_id and toxic (1 or 0; null: not labelled).
 
-    Repeated labels count as the largest. The fit runs as one task, over texts that are chosen before they move.
+    Repeated labels count as the largest. The fit runs as one task; all tasks scan, and only chosen texts move to it.
     """
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mixed = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -160,7 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, s: Se
     clean = told.where("toxic = 0").orderBy(*mixed).limit(rows - rows // 2)
     chosen = F.broadcast(toxic.unionByName(clean))
     # of rows of equal id the fit may see several; the bound on ids bounds the broadcast
-    texts = text_only(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").coalesce(1)
+    texts = text_only(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").repartition(1)
 
     def run(batches):
         got = [
