@@ -53,6 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """The frame written as a table to the shared folder and read back: smaller than cut(), and its columns are read
+    one by one."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the rows, which must be a few fixed-width columns, are at most so many; beyond that
     the frame as it is, which Spark joins by shuffling (and splits where skewed)."""

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import cut, row_key, text_only
+from folia.llm.common import broadcast_if_small, cut, row_key, stored, text_only
 from folia.llm.tokens import Remembered
 
 #: Rows of the sketch, and cells of each; a cell counts to 2 in two bits. The sketch that each task fills and every
@@ -28,10 +28,12 @@ CELLS = 1 << 26
 PART = 1 << 18
 #: Windows of one run at most, so that rows stay small in texts that repeat themselves.
 RUN = 64
+#: Ranges to remove that are broadcast at most, two numbers each; more meet the texts in a shuffle.
+BROADCAST_SPANS = 500_000
 #: Words of a document that are worked on at a time.
 STEP = 1 << 18
 
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -135,9 +137,18 @@ def sketch(docs: DataFrame, window: int, rows: int = ROWS, width: int = CELLS) -
     return {(x.r, x.k): bytes(x.cells) for x in merged.toLocalIterator()}
 
 
+def _window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of the words of each window, another function of them than anchors() is."""
+    h = np.zeros(len(words) - window + 1, np.uint64)
+    for k in range(window):
+        h = h * ODD + words[k : k + len(h)]
+    return _mixed(h)
+
+
 def _repeated_runs(docs: DataFrame, window: int, rows: int, width: int) -> DataFrame:
-    """doc_id, row_key, first, sig, windows: runs whose anchor the sketch takes for repeated; sig is the 128-bit hash
-    of `windows`, which holds the 128-bit hash of each window of the run."""
+    """doc_id, row_key, anchor, sig, first, n, windows: runs whose anchor the sketch takes for repeated. `windows` has
+    a 64-bit hash of each of the n windows from `first` on, sig is a 128-bit hash of those. Windows count as equal if
+    their anchors and their hashes are: 128 bits from two functions of their words."""
     part = min(PART, width)
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, window, rows, width))
 
@@ -154,54 +165,79 @@ def _repeated_runs(docs: DataFrame, window: int, rows: int, width: int) -> DataF
 
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            out = {"doc_id": [], "row_key": [], "first": [], "sig": [], "windows": []}
+            out = {"doc_id": [], "row_key": [], "anchor": [], "sig": [], "first": [], "n": [], "windows": []}
             ids = zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("text").to_pylist(), strict=True)
             for doc_id, key, text in ids:
                 words = text.split()
                 if len(words) < window:
                     continue
-                line = ends = None
-                for first, size, anchor in runs(_word_hashes(known, words), window):
-                    keep = often(anchor)
-                    if keep.any() and line is None:
-                        line = b" ".join(words)
-                        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)).tolist()
-                    for f, n in zip(first[keep].tolist(), size[keep].tolist(), strict=True):
+                hashes = _word_hashes(known, words)
+                for first, size, anchor in runs(hashes, window):
+                    keep = np.flatnonzero(often(anchor))
+                    if not len(keep):
+                        continue
+                    at = int(first[0])
+                    data = _window_hashes(hashes[at : at + int(size.sum()) + window - 1], window).tobytes()
+                    for f, n, a in zip(first[keep].tolist(), size[keep].tolist(), anchor[keep].view(np.int64).tolist(), strict=True):
                         for s in range(f, f + n, RUN):
-                            hs = b"".join(
-                                digest(line[ends[w - 1] if w else 0 : ends[w + window - 1] - 1])
-                                for w in range(s, min(s + RUN, f + n))
-                            )
-                            for c, v in zip(out, (doc_id, key, s, digest(hs), hs), strict=True):
+                            k = min(RUN, f + n - s)
+                            hs = data[8 * (s - at) : 8 * (s - at + k)]
+                            for c, v in zip(out, (doc_id, key, a, digest(hs), s, k, hs), strict=True):
                                 out[c].append(v)
-            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = text_only(docs.withColumn("row_key", row_key()), "row_key")
-    return keyed.mapInArrow(run, f"doc_id {kind}, row_key bigint, first int, sig binary, windows binary")
+    return keyed.mapInArrow(run, f"doc_id {kind}, row_key bigint, anchor bigint, sig binary, first int, n int, windows binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, rows: int = ROWS, width: int = CELLS) -> DataFrame:
-    """doc_id, row_key, starts: the windows of each document that also start in a document of a smaller doc_id.
+    """doc_id, row_key, spans: ranges of the windows of each document that also start in a document of a smaller doc_id,
+    as (first window, window after the last).
 
-    Equal runs of windows collapse in the tasks that make them, so that a passage in many documents is opened into
-    windows about once; the least doc_id of each window goes back to the runs, and from there to their documents.
+    Equal runs collapse where they are made. Under an anchor with one kind of run, its least doc_id decides for all its
+    windows. Only where the runs of an anchor differ, as at the ends of a passage, one run of each kind is opened into
+    windows, which are grouped exactly.
     """
-    held = cut(_repeated_runs(docs.where("doc_id is not null"), window, rows, width))
-    distinct = held.groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("windows").alias("windows"))
-    opened = distinct.select(
-        "sig", "low", F.posexplode(F.expr("transform(sequence(0, length(windows) div 16 - 1), i -> substring(windows, 16 * i + 1, 16))")).alias("k", "w")
+    held = stored(_repeated_runs(docs.where("doc_id is not null"), window, rows, width), "runs")
+    kinds = cut(held.groupBy("anchor", "sig").agg(F.min("doc_id").alias("low"), F.count("*").alias("times")))
+    mixed = cut(kinds.groupBy("anchor").agg(F.count("*").alias("n_sigs")).where("n_sigs > 1").select("anchor"))
+    named = broadcast_if_small(mixed)
+    slim = held.select("doc_id", "row_key", "anchor", "sig", "first", "n")
+    alike = kinds.where("times > 1").join(named, "anchor", "left_anti").select("anchor", "sig", "low")
+    whole = slim.join(alike, ["anchor", "sig"]).where("doc_id > low").select(
+        "doc_id", "row_key", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))).alias("at")
     )
-    opened = cut(opened)
-    least = opened.groupBy("w").agg(F.min("low").alias("least"))
-    back = opened.join(least.select("w", "least"), "w").groupBy("sig").agg(
-        F.array_sort(F.collect_list(F.struct("k", "least"))).alias("lows")
+    each = held.join(named, "anchor", "left_semi").groupBy("anchor", "sig").agg(F.min("doc_id").alias("low"), F.first("windows").alias("windows"))
+    cuts = "transform(sequence(0, length(windows) div 8 - 1), i -> substring(windows, 8 * i + 1, 8))"
+    opened = each.select("anchor", "sig", "low", F.posexplode(F.expr(cuts)).alias("k", "w"))
+    least = opened.groupBy("anchor", "w").agg(F.min("low").alias("least"))
+    back = opened.select("anchor", "sig", "k", "w").join(least, ["anchor", "w"]).groupBy("anchor", "sig").agg(
+        F.collect_list(F.struct("k", "least")).alias("lows")
     )
-    hits = held.select("doc_id", "row_key", "first", "sig").join(back, "sig").select(
-        "doc_id", "row_key", F.expr("transform(filter(lows, x -> x.least < doc_id), x -> first + x.k)").alias("starts")
+    partly = slim.join(back, ["anchor", "sig"]).select(
+        "doc_id", "row_key",
+        F.expr("transform(filter(lows, x -> x.least < doc_id), x -> struct(first + x.k as a, first + x.k + 1 as b))").alias("at"),
     )
-    return hits.where("size(starts) > 0").groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
+    lists = whole.unionByName(partly.where("size(at) > 0")).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+    def merge(batches):
+        for b in batches:
+            out = []
+            for at in b.column("at").to_pylist():
+                spans: list[list[int]] = []
+                for x in sorted((x["a"], x["b"]) for x in at):
+                    if spans and x[0] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], x[1])
+                    else:
+                        spans.append(list(x))
+                out.append(spans)
+            cols = [b.column("doc_id"), b.column("row_key"), pa.array(out, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return lists.mapInArrow(merge, f"doc_id {kind}, row_key bigint, spans array<array<int>>")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, rows: int = ROWS, width: int = CELLS) -> DataFrame:
@@ -212,25 +248,30 @@ def without_repeats(docs: DataFrame, window: int = 50, rows: int = ROWS, width:
     doc_id are not smaller than each other; a null doc_id is neither smaller nor larger than any, so nothing goes
     from such a row, nor because of it. Windows are judged on the input alone.
     """
-    starts = repeated_windows(docs, window, rows, width)
+    found = cut(repeated_windows(docs, window, rows, width))
+    total = found.agg(F.sum(F.size("spans"))).first()[0] or 0
+    named = found.select(F.col("row_key").alias("k"), F.col("doc_id").alias("d"), "spans")
+    named = F.broadcast(named) if total <= BROADCAST_SPANS else named
     keyed = text_only(docs.withColumn("row_key", row_key()), "row_key")
-    found = starts.select(F.col("row_key").alias("k"), F.col("doc_id").alias("d"), "starts")
-    both = keyed.join(found, (F.col("row_key") == F.col("k")) & (F.col("doc_id") == F.col("d")), "left").select("doc_id", "text", "starts")
+    both = keyed.join(named, (F.col("row_key") == F.col("k")) & (F.col("doc_id") == F.col("d")), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for b in batches:
             out = []
-            for text, at in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 words = text.split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                if at:
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, np.array(at) + window, -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                kept = words if not at else [words[k] for k in np.flatnonzero(~gone).tolist()]
-                edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
-                spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).tolist()
-                out.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), spans))
+                gone: list[list[int]] = []
+                for first, last in spans or ():  # of windows; of words up to window - 1 further
+                    if gone and first <= gone[-1][1]:
+                        gone[-1][1] = last + window - 1
+                    else:
+                        gone.append([first, last + window - 1])
+                kept, at = [], 0
+                for first, last in gone:
+                    kept += words[at:first]
+                    at = last
+                kept += words[at:]
+                out.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), gone))
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
@@ -240,5 +281,3 @@ def without_repeats(docs: DataFrame, window: int = 50, rows: int = ROWS, width:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return both.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, removed array<array<bigint>>")
-
-
