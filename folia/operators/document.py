@@ -116,3 +116,22 @@ def fixed_headings(sent: Column, reply: Column) -> Column:
     text = lambda x: F.trim(F.regexp_replace(x, r"^#+", ""))
     same = F.forall(F.zip_with(sent, out, lambda a, b: (text(a) == text(b)) & b.rlike(r"^#{1,6} ")), lambda ok: F.coalesce(ok, F.lit(False)))
     return F.when((F.size(sent) == F.size(out)) & same, out)
+
+
+def levels_by_text(headings: DataFrame, fixes: DataFrame) -> DataFrame:
+    """headings: doc_id, chunk, at, line; fixes: doc_id, nth, line. Headings with the level that the first fix of the same
+    text gives, where it gives one of 1 to 6; others keep theirs."""
+    bare = F.trim(F.regexp_replace("line", r"^#+", ""))
+    level = F.length(F.regexp_extract("line", r"^(#*)", 1))
+    first = fixes.select("doc_id", "nth", bare.alias("text"), level.alias("level")).groupBy("doc_id", "text").agg(F.min_by("level", "nth").alias("level"))
+    told = headings.withColumn("text", bare).join(first, ["doc_id", "text"], "left")
+    new = F.when(F.col("level").between(1, 6), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).otherwise(F.col("line"))
+    return told.select("doc_id", "chunk", "at", new.alias("line"))
+
+
+def with_lines(chunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """chunks: doc_id, chunk, content; lines: doc_id, chunk, at, line. Contents with those lines in their places."""
+    listed = lines.groupBy("doc_id", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("at", "line"))).alias("new"))
+    parts = F.transform(F.split("content", "\n"), lambda x, k: F.coalesce(F.try_element_at("new", k), x))
+    both = chunks.join(listed, ["doc_id", "chunk"], "left")
+    return both.select("doc_id", "chunk", F.when(F.col("new").isNull(), F.col("content")).otherwise(F.array_join(parts, "\n")).alias("content"))

@@ -111,6 +111,51 @@ def in_page_order(pages: DataFrame) -> DataFrame:
     )
 
 
+class _Sections(StatefulProcessor):
+    """Sections of a document whose pages come in order: paragraphs up to a number of tokens (four characters each),
+    and each section starts with the last paragraphs of the one before."""
+
+    def __init__(self, limit: int, overlap: int):
+        self.limit, self.overlap = limit, overlap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "n int, paragraphs array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, held = self.held.get() if self.held.exists() else (0, [])
+        held, out, over = list(held), [], False
+        for _, text, last in sorted((int(p), t, bool(e)) for b in rows for p, t, e in zip(b["page"], b["text"], b["last"], strict=True)):
+            for part in filter(None, map(str.strip, text.split("\n\n"))):
+                if held and sum(len(h) // 4 for h in held) + len(part) // 4 > self.limit:
+                    out.append((key[0], n, "\n\n".join(held)))
+                    n += 1
+                    kept, used = [], 0
+                    for h in reversed(held):
+                        used += len(h) // 4
+                        if used > self.overlap:
+                            break
+                        kept.insert(0, h)
+                    held = kept
+                held.append(part)
+            over |= last
+        if over:
+            out += [(key[0], n, "\n\n".join(held))] if held else []
+            self.held.clear()
+        else:
+            self.held.update((n, held))
+        yield pd.DataFrame(out, columns=["doc_id", "section", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def sections(pages: DataFrame, limit: int = 6000, overlap: int = 1000) -> DataFrame:
+    """A stream of doc_id, page, text, last as sections: doc_id, section, text. What is left comes with the last page."""
+    return pages.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=_Sections(limit, overlap), outputStructType="doc_id bigint, section int, text string", outputMode="Append", timeMode="None"
+    )
+
+
 def recent_error_counts(results: DataFrame, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
     """Errors of each document in sliding windows of event time, with a watermark that bounds the state."""
     from pyspark.sql import functions as F

@@ -129,3 +129,20 @@ def test_html():
 def test_broken_markup(text):
     html_text.markdown(text)
     html_text.flat_table(text)
+
+
+def test_params():
+    from folia.functions import params
+
+    assert params.page_range("2-5") == (2, 5) and params.page_range("3") == (3, 3)
+    assert params.flag("Yes", "x") and not params.flag("off", "x") and params.seed_policy("7") == 7 and params.seed_policy(" Fixed ") == "fixed"
+    for f, bad in ((params.page_range, "5-2"), (params.page_range, "0"), (params.temperature, 2.1), (params.temperature, "x"), (params.seed_policy, "-1")):
+        with pytest.raises(ValueError):
+            f(bad)
+
+
+def test_closed_json():
+    assert completions.closed('{"a": [1, 2,') == {"a": [1, 2]} and completions.closed('```json\n{"a": "\\alpha",}\n```') == {"a": "\\alpha"}
+    with pytest.raises(ValueError):
+        completions.closed("nothing")
+    assert completions.ends_in_loop("abc" * 300) and not completions.ends_in_loop("abc" * 100)

@@ -136,3 +136,36 @@ def test_columns(spark):
     cut = spark.range(1).select(C.crop_pixels(*map(F.lit, (100, 100, 1200, 600, 850, 1100))).alias("c"), C.crop_pixels(*map(F.lit, (5, 5, 5, 9, 9, 9))).alias("n")).first()
     assert tuple(cut.c) == (85, 110, 850, 660) and cut.n is None
     assert spark.range(1).select(C.demoted(F.lit("# a\n##### b\n###### c\n#d"))).first()[0] == "## a\n###### b\n###### c\n#d"
+
+
+def test_headings(spark):
+    from folia.operators import document
+
+    h = spark.createDataFrame([(1, 0, 0, "# A"), (1, 0, 2, "# B"), (1, 1, 0, "## C")], "doc_id int, chunk int, at int, line string")
+    fixes = spark.createDataFrame([(1, 0, "## A"), (1, 1, "### A"), (1, 2, "#### C"), (1, 3, "no B")], "doc_id int, nth int, line string")
+    new = document.levels_by_text(h, fixes)
+    assert rows(new, "chunk", "at", "line") == [(0, 0, "## A"), (0, 2, "# B"), (1, 0, "#### C")]
+    c = spark.createDataFrame([(1, 0, "# A\ntext\n# B"), (1, 1, "## C"), (1, 2, "none")], "doc_id int, chunk int, content string")
+    assert rows(document.with_lines(c, new), "chunk", "content") == [(0, "## A\ntext\n# B"), (1, "#### C"), (2, "none")]
+    one = spark.range(1).select(
+        document.fixed_headings(F.array(F.lit("# A"), F.lit("# B")), F.lit("## A\n### B\n")).alias("ok"),
+        document.fixed_headings(F.array(F.lit("# A"), F.lit("# B")), F.lit("## A\n### X")).alias("no"), document.fixed_headings(F.array(F.lit("# A")), F.lit("# A\n# B")).alias("more"),
+    ).first()
+    assert (one.ok, one.no, one.more) == (["## A", "### B"], None, None)
+
+
+def test_structured(spark):
+    import json
+
+    from folia.operators import document
+    from folia.sources import sinks
+
+    d = spark.createDataFrame([(1, 2, "T", "paper", "S")], "doc_id int, n_pages int, title string, doc_type string, summary string")
+    c = spark.createDataFrame([(1, 2, 1, "b"), (1, 1, 2, "a2"), (1, 1, 1, "a")], "doc_id int, page int, nth int, content string")
+    t = spark.createDataFrame([], "doc_id int, page int, nth int, html string")
+    f = spark.createDataFrame([(1, 1, 1, "cap")], "doc_id int, page int, nth int, caption string")
+    got = json.loads(sinks.structured(d, c, t, f).first().json)
+    assert [x["content"] for x in got["semantic_chunks"]] == ["a", "a2", "b"] and got["tables"] is None and got["images"][0]["caption"] == "cap"
+    assert got["metadata"] == {"title": "T", "type": "paper", "id": 1, "source_pages": 2, "num_chunks": 3}
+    boxes = spark.createDataFrame([("[1, 2, 3, 4]",), ("[[5, 1], [9, 1], [9, 8], [5, 8]]",), ("[1, 2]",), (None,)], "b string")
+    assert [r.e for r in boxes.select(document.box_of(F.col("b")).alias("e")).collect()] == [[1, 2, 3, 4], [5, 1, 9, 8], None, None]

@@ -67,3 +67,11 @@ def test_pages_in_order(spark, tmp_path):
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(arrives)], "doc_id bigint, page int, text string, arrives int")
     got = run(spark, df, lambda s: stateful.in_page_order(s.select("doc_id", "page", "text")), tmp_path, 4)
     assert [r.text for r in got if r.doc_id == 1] == ["a", "b", "c"] and [r.text for r in got if r.doc_id == 2] == ["x", "y", "z"]
+
+
+def test_sections_of_a_stream(spark, tmp_path):
+    paras = ["a" * 40, "b" * 40, "c" * 40, "d" * 40, "e" * 40]
+    rows = [(1, k + 1, p, k == 4, k) for k, p in enumerate(paras)]
+    df = spark.createDataFrame(rows, "doc_id bigint, page int, text string, last boolean, arrives int")
+    got = run(spark, df, lambda s: stateful.sections(s.drop("arrives"), 30, 10), tmp_path, 3)
+    assert [r.text for r in sorted(got, key=lambda r: r.section)] == ["\n\n".join(paras[:3]), "\n\n".join(paras[2:5])]
