@@ -5,6 +5,8 @@ a few words count in a text of any length; misspellings that no label has shown
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +28,10 @@ class Settings:
     dim: int = 8
     lengths: tuple[int, ...] = (3, 4, 5)
     segment: int = 8  # words
-    seen: int = 4  # documents that must have an n-gram before it counts
+    seen: int = 4  # words, each counted once a document, that must have an n-gram before it counts
     warm: int = 30  # steps in which every segment has its document's label
     steps: int = 90  # steps in all; later ones look at each document's most toxic segment
+    again: int = 6  # steps between two searches for these segments
     rate: float = 0.1
     decay: float = 1e-4
     seed: int = 42
@@ -59,7 +62,32 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))[:-1]
 
 
-def fit(docs: list[list[bytes]], labels: np.ndarray, s: Settings = Settings()) -> Model:
+class _Bags:
+    """Segments of words, words of n-grams: means over both, and how a change of the means comes back."""
+
+    def __init__(self, flat, held, size, word, lengths):
+        self.flat, self.held, self.size, self.word, self.lengths = flat, held, size, word, lengths
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), held)
+        self.first, self.of = _starts(lengths), np.repeat(np.arange(len(lengths)), lengths)
+
+    def means(self, value: np.ndarray) -> np.ndarray:
+        by_type = np.bincount(self.owner, value[self.flat], len(self.size)) / self.size
+        return np.add.reduceat(by_type[self.word], self.first) / self.lengths
+
+    def back(self, error: np.ndarray, buckets: int) -> np.ndarray:
+        by_type = np.bincount(self.word, (error / self.lengths)[self.of], len(self.size)) / self.size
+        return np.bincount(self.flat, by_type[self.owner], buckets)
+
+    def only(self, rows: np.ndarray) -> _Bags:
+        """These segments, and the words in them."""
+        at = np.concatenate([np.arange(a, a + n) for a, n in zip(self.first[rows].tolist(), self.lengths[rows].tolist(), strict=True)])
+        types, word = np.unique(self.word[at], return_inverse=True)
+        keep = np.zeros(len(self.size), bool)
+        keep[types] = True
+        return _Bags(self.flat[keep[self.owner]], self.held[types], self.size[types], word, self.lengths[rows])
+
+
+def fit(docs: Iterable[list[bytes]], labels: np.ndarray, s: Settings = Settings()) -> Model:
     """Gradient steps (Adam) over all given documents; the same input gives the same model.
 
     Without documents, or with one label only, the model gives the share of toxic labels (0.5 without any) to all.
@@ -69,48 +97,47 @@ def fit(docs: list[list[bytes]], labels: np.ndarray, s: Settings = Settings()) -
     softmax = rng.normal(0, 0.5, (s.dim, 2)).astype(np.float32)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = np.log([1 - share, share]).astype(np.float32)
-    full = [k for k, d in enumerate(docs) if d]
+    types: dict[bytes, int] = {}
+    at, full = [], []
+    for k, words in enumerate(docs):  # of a document only the numbers of its words are held
+        if words:
+            at.append(np.fromiter((types.setdefault(w, len(types)) for w in words), np.int32, len(words)))
+            full.append(k)
     if not full or len(set(labels[full].tolist())) < 2:
         return Model(np.zeros_like(vectors), softmax, bias, s)
     y = labels[full].astype(np.float32)
-    types: dict[bytes, int] = {}
-    at = [np.fromiter((types.setdefault(w, len(types)) for w in docs[k]), np.int32, len(docs[k])) for k in full]
-    grams = [ngrams(w, s) for w in types]
-    size = np.fromiter(map(len, grams), np.int64, len(grams))
-    # an n-gram counts once enough documents have it
-    seen = np.zeros(s.buckets, np.int32)
-    for a in at:
-        seen[np.unique(np.concatenate([grams[t] for t in np.unique(a).tolist()]))] += 1
-    flat, owner = np.concatenate(grams).astype(np.int64), np.repeat(np.arange(len(grams)), size)
+    grams, size = array("i"), array("i")
+    for w in types:
+        own = ngrams(w, s)
+        grams.extend(own)
+        size.append(len(own))
+    flat, size = np.frombuffer(grams, np.int32), np.frombuffer(size, np.int32)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    del types
+    # an n-gram counts once enough documents' words have it
+    seen = np.bincount(flat, np.bincount(np.concatenate([np.unique(a) for a in at]))[owner].astype(np.float32), s.buckets)
     known = seen[flat] >= s.seen
     flat, owner = flat[known], owner[known]
     part = [-(-len(a) // s.segment) for a in at]
     doc = np.repeat(np.arange(len(at)), part)
     lengths = np.concatenate([np.minimum(s.segment, len(a) - np.arange(0, len(a), s.segment)) for a in at])
-    word, first = np.concatenate(at), _starts(lengths)
-    of = np.repeat(np.arange(len(lengths)), lengths)
+    word = np.concatenate(at)
     doc_first = _starts(np.array(part))
-    weight = (1 / np.array(part))[doc].astype(np.float32) / len(at)
+    bags = _Bags(flat, np.bincount(owner, minlength=len(size)), size, word, lengths)
+    whole, target, weight = bags, y[doc], (1 / np.array(part))[doc] / len(at)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
     for step in range(s.steps):
-        value = vectors @ (softmax[:, 1] - softmax[:, 0])
-        by_type = np.bincount(owner, value[flat], len(size)) / size
-        logit = np.add.reduceat(by_type[word], first) / lengths + (bias[1] - bias[0])
-        if step < s.warm:
-            rows, w = slice(None), weight
-        else:  # the first of each document's highest segments
-            top = np.maximum.reduceat(logit, doc_first)
-            high = np.flatnonzero(logit == top[doc])
-            rows = high[np.unique(doc[high], return_index=True)[1]]
-            w = np.float32(1 / len(at))
-        error = np.zeros(len(lengths))
-        error[rows] = (1 / (1 + np.exp(-logit[rows])) - y[doc[rows]]) * w
-        by_word = (error / lengths)[of]
-        back = np.bincount(word, by_word, len(size)) / size
-        slope = np.bincount(flat, back[owner], s.buckets).astype(np.float32)
+        if step >= s.warm and (step - s.warm) % s.again == 0:
+            logit = whole.means(vectors @ (softmax[:, 1] - softmax[:, 0]))
+            high = np.flatnonzero(logit == np.maximum.reduceat(logit, doc_first)[doc])
+            rows = high[np.unique(doc[high], return_index=True)[1]]  # the first of each document's highest
+            bags, target, weight = whole.only(rows), y[doc[rows]], np.full(len(rows), 1 / len(at))
+        out = softmax[:, 1] - softmax[:, 0]
+        logit = bags.means(vectors @ out) + (bias[1] - bias[0])
+        error = (1 / (1 + np.exp(-logit)) - target) * weight
+        slope = bags.back(error, s.buckets).astype(np.float32)
         pull = (vectors * slope[:, None]).sum(0)
         total = np.float32(error.sum())
-        out = softmax[:, 1] - softmax[:, 0]
         slopes = (
             slope[:, None] * out[None, :] + s.decay * vectors / len(at),
             np.stack([-pull, pull], axis=1),
@@ -169,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, s: Se
             for doc_id, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)
         ]
         got.sort(key=lambda x: (str(x[0]), x[1]))
-        m = fit([lowered(t) for _, t, _ in got], np.array([y for *_, y in got], np.int64), s)
+        m = fit((lowered(t) for _, t, _ in got), np.array([y for *_, y in got], np.int64), s)
         used = np.flatnonzero(m.vectors.any(axis=1))
         yield pa.RecordBatch.from_pylist(
             [{"used": used.astype("<i4").tobytes(), "vectors": m.vectors[used].tobytes(), "softmax": m.softmax.tobytes(), "bias": m.bias.tobytes()}]
