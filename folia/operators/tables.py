@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +59,33 @@ def stitch(rows: list[dict]) -> list[dict]:
 TABLE = "doc_id bigint, table_id string, page int, pages array<int>, bbox array<double>, caption string, html string, flat_text string, continues string, continued_by string"
 
 
+TABLE_ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("table_id", pa.string()), ("page", pa.int32()), ("pages", pa.list_(pa.int32())), ("bbox", pa.list_(pa.float64())), ("caption", pa.string()),
+    ("html", pa.string()), ("flat_text", pa.string()), ("continues", pa.string()), ("continued_by", pa.string()),
+])
+
+
 def stitch_tables(fragments: DataFrame) -> DataFrame:
-    """fragments: doc_id, table_id, page, nth, bbox, caption, html. A document's tables fit in one task: a group is
-    one document."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = [
-            {**r, "pages": [int(r["page"])], "bbox": None if r["bbox"] is None else list(r["bbox"]), "continues": None, "continued_by": None}
-            for r in g.sort_values(["page", "nth"]).to_dict("records")
-        ]
-        names = [f.strip().split(" ")[0] for f in TABLE.split(", ")]
-        return pd.DataFrame([{n: t.get(n) for n in names} for t in stitch(rows)], columns=names)
-
-    return fragments.groupBy("doc_id").applyInPandas(run, TABLE)
+    """fragments: doc_id, table_id, page, nth, bbox, caption, html. Rows come sorted by document, so that a task goes
+    through its documents one after another and holds one at a time."""
+    names = [f.strip().split(" ")[0] for f in TABLE.split(", ")]
+
+    def rows(batches) -> Iterator[dict]:
+        for b in batches:
+            yield from b.to_pylist()
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for _, group in groupby(rows(batches), key=lambda r: r["doc_id"]):
+            held += stitch([{**r, "pages": [r["page"]], "continues": None, "continued_by": None} for r in group])
+            if len(held) >= 2000:
+                yield pa.RecordBatch.from_pylist([{n: t[n] for n in names} for t in held], TABLE_ARROW)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist([{n: t[n] for n in names} for t in held], TABLE_ARROW)
+
+    cols = [F.col("doc_id").cast("bigint").alias("doc_id"), "table_id", F.col("page").cast("int").alias("page"), "nth", "bbox", "caption", "html"]
+    return fragments.select(*cols).repartition("doc_id").sortWithinPartitions("doc_id", "page", "nth").mapInArrow(run, TABLE)
 
 
 def caption_key(s: str | None) -> str:
