@@ -108,6 +108,7 @@ class Reader:
     """Random access to the ids of one file."""
 
     def __init__(self, uri: str):
+        self.held: tuple[int, int, np.ndarray] | None = None
         fs, path = pafs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
@@ -130,10 +131,13 @@ class Reader:
         if not n:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (start + n - 1) // self.block
-        data = self._at(self.offsets[first], int(self.offsets[last + 1]) - int(self.offsets[first]))
-        # every block but the file's last is full, and full blocks have no filling between them
-        ids = unpack(data, self.bits, min((last + 1) * self.block, self.ids) - first * self.block)
-        return ids[start - first * self.block : start - first * self.block + n]
+        if not self.held or first < self.held[0] or last > self.held[1]:
+            data = self._at(self.offsets[first], int(self.offsets[last + 1]) - int(self.offsets[first]))
+            # every block but the file's last is full, and full blocks have no filling between them
+            ids = unpack(data, self.bits, min((last + 1) * self.block, self.ids) - first * self.block)
+            self.held = first, last, ids  # the next document mostly lies in the same blocks
+        at = start - self.held[0] * self.block
+        return self.held[2][at : at + n]
 
 
 @dataclass(frozen=True)
