@@ -12,8 +12,9 @@ from folia.llm.common import broadcast_if_small, cut, fresh_path, row_key
 #: SimHash of the near-duplicate stage: sets of five-word shingles, fingerprints of 256 bits, and a similarity, the
 #: share of equal bits, of 0.8 or more (51 bits may differ). Sets of a Jaccard similarity J differ in about
 #: arccos(2 J / (1 + J)) / pi of the bits, so 0.8 there is 39 bits and the radius leaves room for chance. Candidates
-#: share 14 chosen bits in one of 32 tables, which all but a few in a hundred of such pairs do.
-NEAR = {"words": 5, "bits": 256, "radius": 51, "tables": 32, "width": 14, "repeats": False}
+#: share 14 chosen bits: 8 in one of 88 tables, and 6 further ones in one of 8 choices inside each bucket. A pair at the
+#: radius shares none in one case of a million (simhash.nested_miss()), a closer one in fewer.
+NEAR = {"words": 5, "bits": 256, "radius": 51, "tables": 88, "width": 14, "inner": 8, "repeats": False}
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

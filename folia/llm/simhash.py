@@ -5,6 +5,7 @@ abandoned once all its distances exceed the radius."""
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ SEED = 42
 STEP = 1 << 15
 #: A bucket of more fingerprints than this is dealt out to slots, and each pair of slots is a group of its own.
 SLOT = 2048
+#: The same where buckets are divided further by nested_blocks().
+NESTED_SLOT = 1 << 16
+#: Buckets of at most this many rows are compared pair by pair, larger ones bit-sliced.
+FEW = 128
 #: Pairs of a fingerprint and a 64-lane block under comparison at a time.
 LANES_AT_ONCE = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -99,6 +104,22 @@ def sampled_blocks(bits: int, width: int, tables: int) -> list[np.ndarray]:
     return [np.sort(rng.permutation(bits)[:width]) for _ in range(tables)]
 
 
+def nested_blocks(bits: int, width: int, tables: int, inner: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Choices of 8 positions, and for each of them so many choices of width - 8 further positions (table, choice,
+    position). A fingerprint is sent once a table, and a task applies the further choices to the bucket it holds."""
+    rng = np.random.default_rng(SEED)
+    order = [rng.permutation(bits) for _ in range(tables)]
+    further = [[rng.permutation(o[8:])[: width - 8] for _ in range(inner)] for o in order]
+    return [np.sort(o[:8]) for o in order], np.array(further)
+
+
+def nested_miss(bits: int, width: int, tables: int, inner: int, distance: int) -> float:
+    """The chance that two fingerprints that differ in so many bits share no key of nested_blocks()."""
+    share = math.comb(bits - distance, 8) / math.comb(bits, 8)
+    further = math.comb(bits - 8 - distance, width - 8) / math.comb(bits - 8, width - 8)
+    return (1 - share * (1 - (1 - further) ** inner)) ** tables
+
+
 def _keys(nodes: DataFrame, blocks: list[np.ndarray]) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -212,8 +233,42 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
             yield group[:last], fps[:last], node[:last]
 
 
-def links(nodes: DataFrame, blocks: list[np.ndarray], bits: int, radius: int, slot: int = SLOT) -> DataFrame:
-    """(u, v): for the rows of each task, a forest that connects what links of at most radius bits connect."""
+def pairs_of_few(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What pairs_within() yields, pair by pair: cheaper where groups are far smaller than 64 lanes."""
+    words, n = np.ascontiguousarray(fps).view(np.uint64), len(fps)
+    partners = ends - np.arange(n) - 1
+    upto = np.concatenate(([0], np.cumsum(partners)))
+    first = 0
+    while first < n:
+        last = max(int(np.searchsorted(upto, upto[first] + (LANES_AT_ONCE << 2), "right")) - 1, first + 1)
+        q = np.repeat(np.arange(first, last), partners[first:last])
+        r = q + 1 + np.arange(len(q)) - (upto[q] - upto[first])
+        differ = np.bitwise_count(words[q] ^ words[r]).sum(1, dtype=np.int64)
+        hit = np.flatnonzero(differ <= radius)
+        yield q[hit], r[hit]
+        first = last
+
+
+def _parts(key: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows in the order of their key, where each one's run of that key ends, and whether the runs are of few rows.
+    Runs that are joined already are left out."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    size = np.diff(np.append(first, len(order)))
+    apart = np.minimum.reduceat(root[order], first) != np.maximum.reduceat(root[order], first)
+    for few in (True, False):
+        chosen = apart & ((size <= FEW) == few)
+        rows, sizes = order[np.repeat(chosen, size)], size[chosen]
+        if len(rows):
+            yield rows, np.repeat(np.cumsum(sizes), sizes), few
+
+
+def links(
+    nodes: DataFrame, blocks: list[np.ndarray], bits: int, radius: int, slot: int = SLOT, further: np.ndarray | None = None
+) -> DataFrame:
+    """(u, v): for the rows of each task, a forest that connects what links of at most radius bits connect.
+
+    further: the second part of nested_blocks(); only rows that also agree in one of its choices are compared."""
     keyed = _keys(nodes, blocks)
     large = keyed.groupBy("key").count().where(F.col("count") > slot)
     large = cut(large.select("key", F.ceil(F.col("count") / slot).cast("int").alias("slots")))
@@ -233,10 +288,19 @@ def links(nodes: DataFrame, blocks: list[np.ndarray], bits: int, radius: int, sl
             ends = np.cumsum(size[size > 1])
             if not len(ends):
                 continue
-            fps, node = fps[wanted], node[wanted]
+            fps, node, table = fps[wanted], node[wanted], group[wanted, 0] >> 40
             ends, root = np.repeat(ends, size[size > 1]), np.arange(len(node))
-            for a, b in pairs_within(fps, ends, radius):
-                root = joined(root, a, b)
+            if further is None:
+                for a, b in pairs_within(fps, ends, radius):
+                    root = joined(root, a, b)
+            else:
+                on = np.unpackbits(fps, axis=1)
+                for k in range(further.shape[1]):
+                    at = further[table, k]
+                    part = (np.take_along_axis(on, at, 1).astype(np.int64) << np.arange(at.shape[1])).sum(1)
+                    for rows, stops, few in _parts(ends << at.shape[1] | part, root):
+                        for a, b in (pairs_of_few if few else pairs_within)(fps[rows], stops, radius):
+                            root = joined(root, rows[a], rows[b])
             off = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(node[root[off]])], ["u", "v"])
 
@@ -255,20 +319,27 @@ def simhash_components(
     radius: int = 4,
     tables: int | None = None,
     width: int = 16,
-    slot: int = SLOT,
+    slot: int | None = None,
     carry: tuple[str, ...] = (),
     repeats: bool = True,
+    inner: int | None = None,
 ) -> DataFrame:
     """doc_id, the columns named in carry, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most radius bits.
 
-    tables None: candidates by exact_blocks(), which miss nothing. Else by sampled_blocks(). Equal fingerprints are
+    tables None: candidates by exact_blocks(), which miss nothing. Else by sampled_blocks(), or with inner by
+    nested_blocks(), which miss what nested_miss() says. Equal fingerprints are
     compared once. repeats says whether a shingle counts as often as it occurs. A null text has no words. Rows of equal doc_id each count; a null doc_id names no component, and
     a component of such rows alone has a null id. An empty table gives no rows.
     """
     held = cut(fingerprints(docs, words, bits, carry, repeats))
     nodes = cut(held.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")))
     known = nodes.where("node is not null")
-    blocks = sampled_blocks(bits, width, tables) if tables else exact_blocks(bits, radius, known.count())
-    found = connected_components(links(known, blocks, bits, radius, slot))
+    further = None
+    if tables and inner:
+        blocks, further = nested_blocks(bits, width, tables, inner)
+    else:
+        blocks = sampled_blocks(bits, width, tables) if tables else exact_blocks(bits, radius, known.count())
+    slot = slot or (NESTED_SLOT if inner else SLOT)
+    found = connected_components(links(known, blocks, bits, radius, slot, further))
     group = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return held.join(group, "fp").select("doc_id", *carry, "fp", "component_id")

@@ -42,3 +42,22 @@ def test_stages(spark, made):
     assert 43 in ids["simhash"] and 43 not in ids["decontaminate"] and 44 in ids["decontaminate"] and None in ids["decontaminate"]
     packed = P.run(spark, made).collect()
     assert {r.doc_id for r in packed} == set(ids["decontaminate"])
+
+
+def test_near_candidates(spark):
+    """Pairs at the near-duplicate stage's radius all are linked, each on its own."""
+    import numpy as np
+    from folia.llm.simhash import SLOT, connected_components, links, nested_blocks, nested_miss
+
+    near, rng, rows = P.NEAR, np.random.default_rng(5), []
+    for k in range(300):
+        a = rng.integers(0, 2, near["bits"], dtype=np.uint8)
+        b = a.copy()
+        b[rng.permutation(near["bits"])[: near["radius"]]] ^= 1
+        rows += [(np.packbits(a).tobytes(), 2 * k), (np.packbits(b).tobytes(), 2 * k + 1)]
+    nodes = spark.createDataFrame(rows, "fp binary, node bigint")
+    blocks, further = nested_blocks(near["bits"], near["width"], near["tables"], near["inner"])
+    for slot in (SLOT, 2):
+        got = connected_components(links(nodes.limit(600 if slot == SLOT else 40), blocks, near["bits"], near["radius"], slot, further)).collect()
+        assert {(r.node, r.component) for r in got} == {(k, k - k % 2) for k in range(600 if slot == SLOT else 40)}
+    assert nested_miss(near["bits"], near["width"], near["tables"], near["inner"], near["radius"]) < 2e-6
