@@ -38,8 +38,7 @@ def zlib_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loop_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = F.expr("right(text, 4000)")
-    return table(spark, sf_dir, "documents").select("doc_id", arrow.periodic_score(tail).alias("periodic"), arrow.repeated_score("text").alias("repeated"))
+    return table(spark, sf_dir, "documents").select("doc_id", arrow.periodic_score("text").alias("periodic"), arrow.repeated_score("text").alias("repeated"))
 
 
 LATEX = [r"\alpha + \beta = 1", r"We get \begin{matrix}a\\b\end{matrix} here, as said", "$x$ and \\beta", "plain prose", r"# \alpha"]
