@@ -2,9 +2,11 @@
 
 Tokens (tags with their path, and text blocks) whose occurrence vectors over a host's pages are equal form a class. A
 vector is never held: its fingerprint, the sums of two halves of hash(page, count) over the pages, is aggregated instead,
-so a host with a third of all pages is summed up like any other. The class that every page has once is the host's
-template; classes of a marked-up element together with one fixed text are nested in it as fixed blocks. What remains
-between the template's tokens are slots, and the slot under the element that holds most unlinked text is the article.
+so a host with a third of all pages is summed up like any other. Classes with enough support whose elements stand once on
+a page are the host's template, whatever other pages it has; texts of such a class are template text, and an element whose
+one text comes and goes with it is a fixed block. What remains between the template's tokens are slots, and the innermost
+template element around all slots with unlinked text is the article. Fixed lists of tags and class names (OUTSIDE, MARKED)
+take out what varies and is not article.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import broadcast_if_small
+from folia.llm.common import broadcast_if_small, stored
 
 #: Fixed values of HTML: elements that break lines, that have no end tag, whose content is no markup, and that end
 #: an open element of the given kinds.
@@ -142,15 +144,13 @@ class Page:
                 e.parent.linked += e.linked
 
     def tokens(self) -> dict[int, list]:
-        """Token: count, path, unlinked characters if it is an element; a block's token has its element's."""
-        out: dict[int, list] = {_hash(PAGE): [1, PAGE, 0, None]}
+        """Token: count, path if it is an element; a block's token has its element's."""
+        out: dict[int, list] = {_hash(PAGE): [1, PAGE, None]} if self.elements else {}
         for e in self.elements:
-            t = out.setdefault(e.token, [0, e.path if self._inside(e) else "", 0, None])
-            t[0] += 1
-            t[2] += e.chars - e.linked
+            out.setdefault(e.token, [0, e.path if self._inside(e) else "", None])[0] += 1
         for line, e in self.blocks:
             if e is not None:
-                out.setdefault(_hash(f"{e.path}\n{line}"), [0, None, 0, e.token if not e.plain else None])[0] += 1
+                out.setdefault(_hash(f"{e.path}\n{line}"), [0, None, e.token if not e.plain else None])[0] += 1
         return out
 
     @staticmethod
@@ -161,13 +161,41 @@ class Page:
             e = e.parent
         return e is top
 
-    def article(self, main: int | None, fixed: set[int]) -> str:
-        """Blocks under the template's main element, or the page's own article or main, or its body."""
-        top = next((e for e in self.elements if e.token == main), None) if main is not None else None
+    def article(self, frame: set[int], fixed: set[int]) -> str:
+        """Blocks under the template's article or main element, or the page's own, or the innermost template element
+        around all unlinked text that is no template; without any, of its body. Not those that are template themselves,
+        unless the whole page is."""
+        mine = {e.token for e in self.elements} & frame
+        named = [e for e in self.elements if e.tag in ("article", "main") and self._inside(e)]
+        top = max((e for e in named if e.token in mine), key=lambda e: e.chars, default=None)
         for kind in ("article", "main"):
-            top = top or max((e for e in self.elements if e.tag == kind and self._inside(e)), key=lambda e: e.chars, default=None)
+            own = [e for e in named if e.tag == kind]
+            if top is None and own and (len(own) == 1 or not mine):
+                top = max(own, key=lambda e: e.chars)
+        free = [(x, e) for x, e in self.blocks if not (fixed and e is not None and _hash(f"{e.path}\n{x}") in fixed)]
+        if top is None and mine:
+            top = self._around([e for _, e in free], mine, fixed)
+        return "\n".join(self._under(free, top, fixed) or self._under(self.blocks, top, fixed))
+
+    @staticmethod
+    def _around(held: list[Element | None], frame: set[int], fixed: set[int]) -> Element | None:
+        common: list[Element] | None = None
+        for e in dict.fromkeys(held):
+            line, at, out = [], e, e is None or e.chars == e.linked
+            while at is not None and not out:
+                out = at.marked or at.token in fixed or at.tag == "header" and not fixed
+                line.append(at)
+                at = at.parent
+            if not out:
+                line.reverse()
+                same = len(line) if common is None else next((k for k, (x, y) in enumerate(zip(line, common)) if x is not y), min(len(line), len(common)))
+                common = line[:same]
+        return next((e for e in reversed(common or ()) if e.token in frame), None)
+
+    @staticmethod
+    def _under(blocks: list[tuple[str, Element | None]], top: Element | None, fixed: set[int]) -> list[str]:
         out = []
-        for line, e in self.blocks:
+        for line, e in blocks:
             at = e
             while at is not None and at is not top and not at.marked and at.token not in fixed:
                 if at.tag == "header" and top is None:
@@ -175,7 +203,7 @@ class Page:
                 at = at.parent
             if at is top:
                 out.append(line)
-        return "\n".join(out)
+        return out
 
 
 def host_of(url):
@@ -183,45 +211,44 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, main, fixed: for each host the token of the element that holds the article, and those of fixed blocks."""
+    """For each host and token its vector, pages, greatest count on a page, path and element."""
 
     def run(batches):
         for b in batches:
             rows = []
             for host, key, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                rows += [(host, key, t, n, path, chars, around) for t, (n, path, chars, around) in Page(text).tokens().items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            names = ["host", "page", "token", "n", "path", "chars", "around"]
+                rows += [(host, key, t, n, path, around) for t, (n, path, around) in Page(text).tokens().items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            names = ["host", "page", "token", "n", "path", "around"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    schema = "host string, page bigint, token bigint, n bigint, path string, chars bigint, around bigint"
+    schema = "host string, page bigint, token bigint, n bigint, path string, around bigint"
     keyed = pages.select("host", F.xxhash64("host", "page_id", "url", "html").alias("page"), "html")
     seen = keyed.mapInArrow(run, schema).withColumn("h", F.xxhash64("page", "n")).groupBy("host", "token").agg(
         F.struct(F.expr("sum(h & 4294967295L)"), F.expr("sum(shiftrightunsigned(h, 32))")).alias("vector"), F.count("*").alias("pages"), F.max("path").alias("path"),
-        F.sum("chars").alias("chars"), F.max("around").alias("around"),
+        F.max("n").alias("most"), F.max("around").alias("around"),
     )
-    return seen
+    return stored(seen, "tokens")  # it is read several times, and pages are parsed once for it
 
 
 def classes(seen: DataFrame) -> DataFrame:
-    """The template of each host from its tokens' vectors."""
+    """host, frame, fixed: the tokens of each host's template elements, and of its fixed blocks and template texts.
+
+    Enough support are all pages with elements, half of them (two or more), or a tenth (three or more)."""
     tags = seen.where("path is not null")
-    root = tags.where(F.col("path") == PAGE).select("host", F.col("vector").alias("every"), F.col("chars").alias("none"))
-    # the template's elements, and of these the innermost that holds nearly as much unlinked text as the largest
-    members = tags.where(F.col("path") != PAGE).join(root, "host").where("vector = every and path != ''")
-    members = members.withColumn(
-        "named", F.col("path").rlike(r"/(article|main)(\[[^\]]*\])?$").cast("int")
-    ).withColumn("most", F.max("chars").over(Window.partitionBy("host")))
-    good = members.where("chars * 10 >= most * 7 or named = 1")
-    main = good.groupBy("host").agg(
-        F.expr("max_by(token, struct(named, if(named = 1, chars, length(path)), -token))").alias("main")
-    )
+    root = tags.where(F.col("path") == PAGE).select("host", F.col("pages").alias("total"))
+    held = tags.where((F.col("path") != PAGE) & (F.col("most") == 1)).join(root, "host")
+    held = held.where("pages = total or pages >= 2 and pages * 2 >= total or pages >= 3 and pages * 10 >= total")
+    frame = held.where("path != ''").groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("frame"))
+    # texts whose class has template elements
+    texts = seen.where("path is null and most = 1 and pages >= 2").join(held.select("host", "vector").distinct(), ["host", "vector"], "left_semi")
     # an element with attributes and a text that come and go together on three pages or more
-    texts = seen.where("path is null and around is not null and pages >= 3").select("host", F.col("around").alias("token"), F.col("vector").alias("same"))
-    fixed = tags.join(texts, ["host", "token"]).where(~F.col("path").rlike(r"/(html|body|main|article)(\[[^\]]*\])?$"))
-    fixed = fixed.where("vector = same").groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("fixed"))
-    return main.join(fixed, "host", "left")
+    around = seen.where("path is null and around is not null and pages >= 3").select("host", F.col("around").alias("token"), F.col("vector").alias("same"))
+    blocks = tags.join(around, ["host", "token"]).where(~F.col("path").rlike(r"/(html|body|main|article)(\[[^\]]*\])?$")).where("vector = same")
+    fixed = texts.select("host", "token").unionByName(blocks.select("host", "token"))
+    fixed = fixed.groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("fixed"))
+    return frame.join(fixed, "host", "full")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -233,12 +260,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
     found = classes(templates(rows))
-    joined = rows.join(broadcast_if_small(found, 20_000), "host", "left").select("page_id", "url", "html", "main", "fixed")
+    joined = rows.join(broadcast_if_small(found, 5_000), "host", "left").select("page_id", "url", "html", "frame", "fixed")
 
     def run(batches):
         for b in batches:
-            cols = zip(*(b.column(c).to_pylist() for c in ("html", "main", "fixed")), strict=True)
-            texts = [Page(h).article(m, set(f or ())) for h, m, f in cols]
+            cols = zip(*(b.column(c).to_pylist() for c in ("html", "frame", "fixed")), strict=True)
+            texts = [Page(h).article(set(m or ()), set(f or ())) for h, m, f in cols]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -235,3 +235,15 @@ def test_licenses(spark, docs, none):
     assert "gpl-3" in got[50].labels.split(",") and got[53].labels == got[53].base_labels == "apache-2"
     assert got[51].n_words == 0 and got[51].first_word is None and got[51].labels == "" and got[52].n_base == 0
     assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(none).count() == 0
+
+
+def test_html_template(spark):
+    body = "<html><body><div class='top'>Site</div><div class='post'><h1>Head {0}</h1><div class='lead'>Lead {0}</div><div class='body'>{1}</div></div><div class='side'><p>About us</p></div></body></html>"
+    box = "<p>Text {0} " + "word " * 60 + "</p><div class='box'><p>Write to us</p></div><p>End {0}</p>"
+    rows = [(k, f"http://{host}/{k}", body.format(k, box.format(k))) for host, ks in (("a", range(12)), ("b", (20, 21))) for k in ks]
+    odd = [(30, "http://a/30", None), (31, "http://a/31", "<html><body><div class='top'>Si"), (32, "http://a/32", "<html><body><article>Own</article><p>x</p></body></html>")]
+    df = spark.createDataFrame(rows + odd, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_main.main_texts(df).collect()}
+    for k in (*range(12), 20, 21):
+        assert got[k] == f"Head {k}\nLead {k}\nText {k} {'word ' * 59}word\nEnd {k}"
+    assert got[30] == "" and got[31] == "Si" and got[32] == "Own"
