@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions import html_text
+from folia.functions.columns import token_class
 from folia.functions.markdown import ratio
 
 MOST_PAGES = 3
@@ -165,6 +166,13 @@ def correctable(cls: str, token: str, case_only: bool) -> bool:
     return case_only or cls == "ident" or cls == "code" and not re.fullmatch(r"[0-9]+(?:[.,\-][0-9]+)*", token)
 
 
+def nearest_fixes(nearest: DataFrame) -> DataFrame:
+    """doc_id, token, closest of nearest_tokens() where one source token is nearest and correctable() allows it."""
+    cls = token_class(F.col("token"))
+    number = F.col("token").rlike(r"^[0-9]+(?:[.,\-][0-9]+)*$")
+    return nearest.where(~F.col("ambiguous") & ((cls == "ident") | (cls == "code") & ~number)).select("doc_id", "token", "closest")
+
+
 def correct_fields(fields: DataFrame, fixes: DataFrame) -> DataFrame:
     """fields: doc_id, where, text; fixes: doc_id, token, closest. Every field of a document gets the same fixes."""
 

@@ -105,7 +105,10 @@ def fidelity_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fidelity_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, output = _tokens(spark, sf_dir)
-    fixes = quality.case_matches(quality.unknown_tokens(output, source), source)
+    unknown = tables.without_stems(quality.unknown_tokens(output, source), source)
+    cased = quality.case_matches(unknown, source)
+    near = quality.nearest_tokens(unknown.join(cased, ["doc_id", "token"], "left_anti"), source)
+    fixes = cased.unionByName(tables.nearest_fixes(near))
     fields = output.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("text")).withColumn("where", F.lit("summary"))
     return tables.correct_fields(fields, fixes)
 

@@ -26,3 +26,9 @@ def test_loop_periodic(run):
     loop = prose(300)[:1999] + "\n"
     (got,) = run("loop_periodic", prose(200) + loop * 6)
     assert got.periodic > 6000
+
+
+def test_fidelity_correct(run):
+    # a letter is lost in all but fooBarBazz (upper case); an identifier and a code are put right, a number never is
+    (got,) = run("fidelity_correct", "abcdefXy7 part-4711 12.345 fooBarBazz", table="benchmark", key="item_id")
+    assert set(got.text.split()) == {"abcdefXy7", "part-4711", "12345", "fooBarBazz"}
