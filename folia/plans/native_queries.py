@@ -436,7 +436,7 @@ def chunk_jaccard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def heading_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = F.transform("lines", lambda x: F.concat(F.lit("## "), F.substring(x, 1, 60)))
+    heads = F.transform("lines", lambda x: F.concat(F.lit("## "), x))
     found = doc_lines(spark, sf_dir).select("doc_id", pages.heading_lines(heads).alias("heads"))
     groups = pages.packed(F.transform("heads", lambda h: h["line"]), 24, 1700)
     return found.select("doc_id", F.posexplode(groups).alias("window", "lines")).select("doc_id", "window", F.size("lines").alias("n"))

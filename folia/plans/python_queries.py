@@ -47,7 +47,7 @@ LATEX = [r"\alpha + \beta = 1", r"We get \begin{matrix}a\\b\end{matrix} here, as
 def latex_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     bare = F.element_at(F.array(*map(F.lit, LATEX)), (F.col("doc_id") % len(LATEX) + 1).cast("int"))
-    text = F.concat_ws("\n", F.substring("text", 1, 60), bare)
+    text = F.concat_ws("\n", "text", bare)
     return d.select("doc_id", text.alias("text")).select("doc_id", arrow.wrap_if_needed(F.col("text")).alias("wrapped"))
 
 
@@ -85,7 +85,7 @@ def completion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as completions of a page: each has two attempts, of which the first is cut off for every third."""
     body = F.to_json(F.struct(
         F.expr("named_struct('title', null, 'authors', array(), 'organization', null, 'year', null, 'doc_type', 'paper') as metadata"), F.lit("s").alias("summary"),
-        F.array(F.struct(F.substring("text", 1, 400).alias("content"), F.lit("body").alias("section_type"))).alias("semantic_chunks"),
+        F.array(F.struct(F.col("text").alias("content"), F.lit("body").alias("section_type"))).alias("semantic_chunks"),
         F.expr("array() as figures"), F.expr("array() as tables"),
     ), {"ignoreNullFields": "false"})
     d = table(spark, sf_dir, "documents").select("doc_id", body.alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))

@@ -32,3 +32,12 @@ def test_fidelity_correct(run):
     # a letter is lost in all but fooBarBazz (upper case); an identifier and a code are put right, a number never is
     (got,) = run("fidelity_correct", "abcdefXy7 part-4711 12.345 fooBarBazz", table="benchmark", key="item_id")
     assert set(got.text.split()) == {"abcdefXy7", "part-4711", "12345", "fooBarBazz"}
+
+
+def test_gate_wrap_windows(run):
+    long = prose(120)
+    (got,) = run("completion_gate", long)
+    assert int(got.text) == len(long) + len("s")  # the summary counts as well
+    assert run("latex_wrap", long)[0].wrapped.startswith(long)
+    # two lines of 1,000 characters are more than a window of 1,700 holds
+    assert [(r.window, r.n) for r in run("heading_windows", "x" * 1000 + "\n" + "y" * 1000)] == [(0, 1), (1, 1)]
