@@ -6,8 +6,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +87,9 @@ def place(pieces: DataFrame, length: int = 4096, shard: int = SHARD) -> DataFram
     held = cut(pieces)
     shards = max(1, -(-held.count() // shard))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:  # Arrow keeps ids whole where others are null
+        order = pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
+        rows = rows.take(order).drop_columns("shard")
         size = rows["length"].to_numpy()
         bins = sum_of_squares(size, length)
         order = np.argsort(bins, kind="stable")
@@ -97,11 +98,12 @@ def place(pieces: DataFrame, length: int = 4096, shard: int = SHARD) -> DataFram
         base = np.repeat(ends[first] - size[order][first], np.diff(np.append(first, len(order))))
         offset = np.empty(len(size), np.int64)
         offset[order] = ends - size[order] - base
-        return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offset).drop(columns="shard")
+        number = pa.array((key[0].as_py() << 32) + bins, pa.int64())
+        return rows.append_column("sequence_id", number).append_column("offset", pa.array(offset, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
     dealt = held.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, copy, piece), {shards})"))
-    return dealt.groupBy("shard").applyInPandas(run, f"{schema}, sequence_id bigint, offset bigint")
+    return dealt.groupBy("shard").applyInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int = 4096) -> DataFrame:
