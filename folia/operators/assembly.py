@@ -38,6 +38,9 @@ def union_in_order(words: Column) -> Column:
 ENDS = r"[.!?:;。！？][\"')\]]*$"
 CONTINUES = r"^[\p{javaLowerCase}\p{Nd}]"
 LIST_LINE = r"(?m)^\s*(?:[-*•]|\d+[.)])\s+"
+#: Captions that number a new table, and those that say a table goes on.
+NEW_TABLE = r"\s*tab(?:le|\.)?\s*[A-Za-z0-9][\w.-]*\s*[.:)–—-]"
+CONTINUED = r"\bcont(?:inued|'d|\.)?\b"
 
 
 def prose(text: Column) -> Column:
@@ -84,8 +87,7 @@ def stitched(chunks: Column) -> Column:
 def table_goes_on(y1: Column, y0: Column, cols: Column, next_cols: Column, caption: Column) -> Column:
     """Whether the first table of a page continues the last one of the page before: that reaches the foot, this
     starts at the head, their widest rows are alike, and the caption does not number a new table."""
-    fresh = caption.rlike(r"(?i)^\s*tab(?:le|\.)?\s*[A-Za-z0-9][\w.-]*\s*[.:)–—-]")
-    told = caption.rlike(r"(?i)\bcont(?:inued|'d|\.)?\b")
+    fresh, told = caption.rlike("(?i)^" + NEW_TABLE), caption.rlike("(?i)" + CONTINUED)
     new = F.coalesce((caption != "") & fresh & ~told, F.lit(False))
     return (y1 >= 930) & (y0 <= 100) & (cols > 0) & (next_cols > 0) & (F.abs(cols - next_cols) <= 1) & ~new
 
