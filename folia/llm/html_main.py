@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import broadcast_if_small, stored
+from folia.llm.common import cut, stored
 
 #: Fixed values of HTML: elements that break lines, that have no end tag, whose content is no markup, and that end
 #: an open element of the given kinds.
@@ -39,6 +39,10 @@ MARKED = set(
     " respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 HOLDERS = {"html", "body", "main", "article"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Tokens that a task holds before it sends them, and tokens of all hosts' templates that are broadcast at most.
+TOKENS = 1 << 16
+TEMPLATE_TOKENS = 500_000
 
 SCAN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -55,54 +59,82 @@ def _hash(x: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "token", "parent", "marked", "plain", "chars", "linked", "order")
+    __slots__ = ("tag", "name", "path", "token", "parent", "marked", "inside", "plain", "chars", "linked", "order")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None, order: int):
-        marks, self.marked, self.plain = [], tag in OUTSIDE, True
+        marks, self.marked, self.plain, self.name = [], tag in OUTSIDE, True, tag
         for name, a, b, c, hidden in ATTR.findall(attrs) if attrs else ():
             value = a or b or c
             marks.append(f"{name.lower()}={re.sub(r'[0-9]+', '0', value)}")
             self.plain = False
-            if tag not in HOLDERS:
+            if tag not in HOLDERS and tag not in HEADINGS:
                 words = {w.lower() for w in WORD.findall(value)} if name.lower() != "itemprop" else set()
                 self.marked |= bool(hidden) or not words.isdisjoint(MARKED)
             if name.lower() == "role" and value in ("main", "article"):
                 tag = value
         self.tag, self.parent, self.order, self.chars, self.linked = tag, parent, order, 0, 0
+        self.inside = not self.marked and (parent is None or parent.inside)
         self.path = f"{parent.path if parent else ''}/{tag}" + (f"[{' '.join(sorted(marks))}]" if marks else "")
         if len(self.path) > 2000:  # of very deep nesting its hash is enough
             self.path = f"/{_hash(self.path)}/{tag}"
         self.token = _hash(self.path)
 
 
+class _Open:
+    """The open elements, with the places of each kind, so that no search goes down the stack."""
+
+    def __init__(self):
+        self.all: list[Element] = []
+        self.by_name: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = 0
+
+    def push(self, e: Element) -> None:
+        self.by_name.setdefault(e.name, []).append(len(self.all))
+        if e.name in BLOCKS:
+            self.blocks.append(len(self.all))
+        self.links += e.name == "a"
+        self.all.append(e)
+
+    def close(self, k: int) -> None:
+        """Closes the element at place k, and those inside it."""
+        while len(self.all) > k:
+            e = self.all.pop()
+            self.by_name[e.name].pop()
+            if e.name in BLOCKS:
+                self.blocks.pop()
+            self.links -= e.name == "a"
+
+    def last(self, name: str) -> int | None:
+        places = self.by_name.get(name)
+        return places[-1] if places else None
+
+    def block(self) -> Element | None:
+        return self.all[self.blocks[-1]] if self.blocks else None
+
+
 class Page:
-    """Elements and text blocks of a page, from markup that may lack end tags or be cut off anywhere."""
+    """Elements and text blocks of a page, from markup that may lack end tags or be cut off anywhere. The time is in
+    proportion to the markup's length, however deep it is nested."""
 
     def __init__(self, text: str):
         self.elements: list[Element] = []
         self.blocks: list[tuple[str, Element | None]] = []
-        stack: list[Element] = []
-        held: list[str] = []
-        links = 0
+        now, held = _Open(), []
 
         def flush() -> None:
             line = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if line:
-                self.blocks.append((line, stack[-1] if stack else None))
-
-        def close(k: int) -> None:
-            nonlocal links
-            links -= sum(e.tag == "a" for e in stack[k:])
-            del stack[k:]
+                self.blocks.append((line, now.all[-1] if now.all else None))
 
         for m in SCAN.finditer(text):
             if (piece := m["text"]) is not None:
                 held.append(piece)
-                if stack:
+                if now.all:
                     n = len(piece) - piece.count(" ")
-                    stack[-1].chars += n
-                    stack[-1].linked += n if links else 0
+                    now.all[-1].chars += n
+                    now.all[-1].linked += n if now.links else 0
                 continue
             tag = (m["tag"] or "").lower()
             if not tag:
@@ -113,30 +145,26 @@ class Page:
                 held.append(" ")
                 continue
             if m["end"]:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
+                k = now.last(tag)
                 if tag in BLOCKS:
                     flush()
-                if k is not None and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[k + 1 :])):
-                    close(k)
+                if k is not None and (tag in BLOCKS or not now.blocks or now.blocks[-1] < k):
+                    now.close(k)
                 continue
             if tag in BLOCKS:
                 flush()
-                if stack and tag not in ("html", "body"):
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in BLOCKS), None)
-                    if k is not None and stack[k].tag == "p":
-                        close(k)
-                    if tag in ENDS:
-                        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in BLOCKS), None)
-                        if k is not None and stack[k].tag in ENDS[tag]:
-                            close(k)
-                if tag == "body":
-                    close(next((k for k, e in enumerate(stack) if e.tag == "head"), len(stack)))
+                if tag not in ("html", "body"):
+                    if (e := now.block()) and e.name == "p":
+                        now.close(now.blocks[-1])
+                    if tag in ENDS and (e := now.block()) and e.name in ENDS[tag]:
+                        now.close(now.blocks[-1])
+                if tag == "body" and (k := now.last("head")) is not None:
+                    now.close(k)
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
                 continue
-            e = Element(tag, m["attrs"], stack[-1] if stack else None, len(self.elements))
+            e = Element(tag, m["attrs"], now.all[-1] if now.all else None, len(self.elements))
             self.elements.append(e)
-            stack.append(e)
-            links += tag == "a"
+            now.push(e)
         flush()
         for e in reversed(self.elements):
             if e.parent:
@@ -147,63 +175,51 @@ class Page:
         """Token: count, path if it is an element; a block's token has its element's."""
         out: dict[int, list] = {_hash(PAGE): [1, PAGE, None]} if self.elements else {}
         for e in self.elements:
-            out.setdefault(e.token, [0, e.path if self._inside(e) else "", None])[0] += 1
+            out.setdefault(e.token, [0, e.path if e.inside else "", None])[0] += 1
         for line, e in self.blocks:
             if e is not None:
                 out.setdefault(_hash(f"{e.path}\n{line}"), [0, None, e.token if not e.plain else None])[0] += 1
         return out
 
-    @staticmethod
-    def _inside(e: Element | None, top: Element | None = None) -> bool:
-        while e is not None and e is not top:
-            if e.marked:
-                return False
-            e = e.parent
-        return e is top
-
     def article(self, frame: set[int], fixed: set[int]) -> str:
         """Blocks under the template's article or main element, or the page's own, or the innermost template element
         around all unlinked text that is no template; without any, of its body. Not those that are template themselves,
         unless the whole page is."""
-        mine = {e.token for e in self.elements} & frame
-        named = [e for e in self.elements if e.tag in ("article", "main") and self._inside(e)]
-        top = max((e for e in named if e.token in mine), key=lambda e: e.chars, default=None)
+        mine: list[bool] = []  # template elements: their class has support, and so has that of what they are nested in
+        for e in self.elements:
+            mine.append(e.token in frame and (e.parent is None or e.parent.token not in frame or mine[e.parent.order]))
+        named = [e for e in self.elements if e.tag in ("article", "main") and e.inside]
+        top = max((e for e in named if mine[e.order]), key=lambda e: e.chars, default=None)
         for kind in ("article", "main"):
             own = [e for e in named if e.tag == kind]
-            if top is None and own and (len(own) == 1 or not mine):
+            if top is None and own and (len(own) == 1 or not any(mine)):
                 top = max(own, key=lambda e: e.chars)
         free = [(x, e) for x, e in self.blocks if not (fixed and e is not None and _hash(f"{e.path}\n{x}") in fixed)]
-        if top is None and mine:
+        if top is None and any(mine):
             top = self._around([e for _, e in free], mine, fixed)
         return "\n".join(self._under(free, top, fixed) or self._under(self.blocks, top, fixed))
 
-    @staticmethod
-    def _around(held: list[Element | None], frame: set[int], fixed: set[int]) -> Element | None:
-        common: list[Element] | None = None
-        for e in dict.fromkeys(held):
-            line, at, out = [], e, e is None or e.chars == e.linked
-            while at is not None and not out:
-                out = at.marked or at.token in fixed or at.tag == "header" and not fixed
-                line.append(at)
-                at = at.parent
-            if not out:
-                line.reverse()
-                same = len(line) if common is None else next((k for k, (x, y) in enumerate(zip(line, common)) if x is not y), min(len(line), len(common)))
-                common = line[:same]
-        return next((e for e in reversed(common or ()) if e.token in frame), None)
-
-    @staticmethod
-    def _under(blocks: list[tuple[str, Element | None]], top: Element | None, fixed: set[int]) -> list[str]:
-        out = []
-        for line, e in blocks:
-            at = e
-            while at is not None and at is not top and not at.marked and at.token not in fixed:
-                if at.tag == "header" and top is None:
-                    break
-                at = at.parent
-            if at is top:
-                out.append(line)
-        return out
+    def _around(self, held: list[Element | None], mine: list[bool], fixed: set[int]) -> Element | None:
+        """The innermost template element that holds all of these that count: not marked, fixed, or linked only."""
+        out: list[bool] = []
+        for e in self.elements:
+            here = e.marked or e.token in fixed or e.tag == "header" and not fixed
+            out.append(here or e.parent is not None and out[e.parent.order])
+        wanted = {e.order for e in held if e is not None and e.chars != e.linked and not out[e.order]}
+        inside = [int(k in wanted) for k in range(len(self.elements))]
+        for e in reversed(self.elements):
+            if e.parent is not None:
+                inside[e.parent.order] += inside[e.order]
+        whole = [e for e in self.elements if wanted and inside[e.order] == len(wanted) and mine[e.order]]
+        return whole[-1] if whole else None  # those that hold all lie in one another, in page order
+
+    def _under(self, blocks: list[tuple[str, Element | None]], top: Element | None, fixed: set[int]) -> list[str]:
+        under: list[bool] = []
+        for e in self.elements:
+            above = under[e.parent.order] if e.parent is not None else top is None
+            gone = e.marked or e.token in fixed or e.tag == "header" and top is None
+            under.append(e is top or above and not gone)
+        return [x for x, e in blocks if (top is None if e is None else under[e.order])]
 
 
 def host_of(url):
@@ -212,16 +228,20 @@ def host_of(url):
 
 def templates(pages: DataFrame) -> DataFrame:
     """For each host and token its vector, pages, greatest count on a page, path and element."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    names = ["host", "page", "token", "n", "path", "around"]
 
     def run(batches):
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
-            for host, key, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                rows += [(host, key, t, n, path, around) for t, (n, path, around) in Page(text).tokens().items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            names = ["host", "page", "token", "n", "path", "around"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            for host, key, text in zip(b.column("host"), b.column("page"), b.column("html"), strict=True):
+                host, key = host.as_py(), key.as_py()
+                rows += [(host, key, t, n, path, around) for t, (n, path, around) in Page(text.as_py()).tokens().items()]
+                if len(rows) >= TOKENS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "host string, page bigint, token bigint, n bigint, path string, around bigint"
     keyed = pages.select("host", F.xxhash64("host", "page_id", "url", "html").alias("page"), "html")
@@ -235,20 +255,24 @@ def templates(pages: DataFrame) -> DataFrame:
 def classes(seen: DataFrame) -> DataFrame:
     """host, frame, fixed: the tokens of each host's template elements, and of its fixed blocks and template texts.
 
-    Enough support are all pages with elements, half of them (two or more), or a tenth (three or more)."""
-    tags = seen.where("path is not null")
-    root = tags.where(F.col("path") == PAGE).select("host", F.col("pages").alias("total"))
-    held = tags.where((F.col("path") != PAGE) & (F.col("most") == 1)).join(root, "host")
-    held = held.where("pages = total or pages >= 2 and pages * 2 >= total or pages >= 3 and pages * 10 >= total")
-    frame = held.where("path != ''").groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("frame"))
-    # texts whose class has template elements
-    texts = seen.where("path is null and most = 1 and pages >= 2").join(held.select("host", "vector").distinct(), ["host", "vector"], "left_semi")
+    Tokens that stand once on a page are grouped by their vector. A class is valid if it has elements and support: all pages
+    with elements, half of them (two or more), or a tenth (three or more). Its elements are the template's, nested by their
+    paths (Page.article() leaves out those whose parent is in no valid class); its texts are template text."""
+    root = seen.where(F.col("path") == PAGE).select("host", F.col("pages").alias("total"))
+    element, token = F.col("path").isNotNull(), F.col("token")
+    each = seen.where((F.col("most") == 1) & ~F.col("path").eqNullSafe(PAGE)).groupBy("host", "vector").agg(
+        F.max("pages").alias("pages"), F.count_if(element).alias("elements"), F.collect_set(F.when(element & (F.col("path") != ""), token)).alias("frame"),
+        F.collect_set(F.when(~element & (F.col("pages") >= 2), token)).alias("texts"),  # one page's own texts are no template
+    )
+    valid = each.where("elements > 0").join(root, "host")
+    valid = valid.where("pages = total or pages >= 2 and pages * 2 >= total or pages >= 3 and pages * 10 >= total")
     # an element with attributes and a text that come and go together on three pages or more
     around = seen.where("path is null and around is not null and pages >= 3").select("host", F.col("around").alias("token"), F.col("vector").alias("same"))
-    blocks = tags.join(around, ["host", "token"]).where(~F.col("path").rlike(r"/(html|body|main|article)(\[[^\]]*\])?$")).where("vector = same")
-    fixed = texts.select("host", "token").unionByName(blocks.select("host", "token"))
-    fixed = fixed.groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("fixed"))
-    return frame.join(fixed, "host", "full")
+    blocks = seen.where(element).join(around, ["host", "token"]).where(~F.col("path").rlike(r"/(html|body|main|article)(\[[^\]]*\])?$")).where("vector = same")
+    none = F.array().cast("array<bigint>")
+    both = valid.select("host", "frame", F.col("texts").alias("fixed")).unionByName(blocks.select("host", none.alias("frame"), F.array("token").alias("fixed")))
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return both.groupBy("host").agg(merged("frame"), merged("fixed"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -256,16 +280,23 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Character references are decoded and white space inside a block becomes one space. Null html counts as empty
     and has the empty text; pages of null url share the host "". Repeated rows are one page of the template and
-    each get a row. A host of one page is its own template. An empty table gives no rows.
+    each get a row, and so do pages of null page_id. A host of one page is its own template. Pages of any length and depth
+    are read whole, in time that grows with their length. An empty table gives no rows; other columns are left out.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
-    found = classes(templates(rows))
-    joined = rows.join(broadcast_if_small(found, 5_000), "host", "left").select("page_id", "url", "html", "frame", "fixed")
+    found = cut(classes(templates(rows)))
+    tokens = found.agg(F.sum(F.size("frame") + F.size("fixed"))).first()[0] or 0
+    found = F.broadcast(found) if tokens <= TEMPLATE_TOKENS else found
+    joined = rows.join(found, "host", "left").select("page_id", "url", "host", "html", "frame", "fixed")
 
     def run(batches):
         for b in batches:
-            cols = zip(*(b.column(c).to_pylist() for c in ("html", "frame", "fixed")), strict=True)
-            texts = [Page(h).article(set(m or ()), set(f or ())) for h, m, f in cols]
+            held: dict = {}
+            texts = []
+            for k, (host, text) in enumerate(zip(b.column("host").to_pylist(), b.column("html"), strict=True)):
+                if host not in held:
+                    held[host] = set(b.column("frame")[k].as_py() or ()), set(b.column("fixed")[k].as_py() or ())
+                texts.append(Page(text.as_py()).article(*held[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -178,6 +178,44 @@ def test_sum_of_squares():
     assert packing.sum_of_squares(np.array([3, 3, 2, 2, 1, 1]), 4).max() == 2
 
 
+def naive_sum_of_squares(sizes, capacity):
+    """Each size where the squared counts of open bins, summed over their gaps, become smallest: every bin tried; of equal
+    ones the fullest, a new bin last."""
+    loads, out = [], []
+    for s in sizes:
+        def total(k, s=s):
+            after = loads[:k] + [loads[k] + s] + loads[k + 1 :] if k < len(loads) else [*loads, s]
+            counts: dict = {}
+            for x in after:
+                if x < capacity:
+                    counts[capacity - x] = counts.get(capacity - x, 0) + 1
+            return sum(n * n for n in counts.values())
+
+        fits = [k for k in range(len(loads)) if loads[k] + s <= capacity]
+        best = min([*fits, len(loads)], key=lambda k: (total(k), -(loads[k] if k < len(loads) else 0)))
+        if best == len(loads):
+            loads.append(0)
+        loads[best] += s
+        out.append(loads[best])
+    return sorted(loads)
+
+
+def test_sum_of_squares_naive():
+    rng = np.random.default_rng(2)
+    for capacity in (7, 20, 64):
+        for _ in range(4):
+            sizes = np.sort(rng.integers(1, capacity + 1, 60))[::-1]
+            loads = np.bincount(packing.sum_of_squares(sizes, capacity), sizes)
+            assert sorted(loads.astype(int).tolist()) == naive_sum_of_squares(sizes.tolist(), capacity)
+
+
+def test_packing_ids(spark):
+    """Large ids stay whole beside a null one."""
+    big = [9007199254740993, 9007199254740995, None, -5]
+    df = spark.createDataFrame([(i, "a few words") for i in big], "doc_id bigint, text string")
+    assert sorted((r.doc_id for r in packing.pack_documents(df, WORDS).collect()), key=str) == sorted(big, key=str)
+
+
 def test_decontaminate(spark, docs, none):
     words = BASE.split()
     items = [(1, " ".join(words[5:30])), (2, "one"), (3, None), (4, ""), (5, " ".join(words[20:34])), (None, "one"), (10, "x y z")]
@@ -196,9 +234,14 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contaminations(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_substring(docs, none):
-    for width in (1 << 10, 1 << 20):  # a sketch that takes nearly all windows for repeated, and one that doesn't
-        got = substring.without_repeats(docs, width=width).collect()
+def test_substring(docs, none, monkeypatch):
+    # a sketch that takes nearly all windows for repeated, one that doesn't, and none but a shuffled count; places of runs in
+    # a bitmap, in one where nearly all share cells, and in a shuffle
+    for how in ({"width": 1 << 10}, {"width": 1 << 20}, {"sketched": 0}, {"most": 1}, {"crowded": True}):
+        if how.pop("crowded", False):
+            monkeypatch.setattr(substring, "LEAST_CELLS", 8)
+            monkeypatch.setattr(substring, "PLACE_CELLS", 0)
+        got = substring.without_repeats(docs, **how).collect()
         by = {}
         for r in got:
             by.setdefault(r.doc_id, []).append(r)
@@ -209,6 +252,51 @@ def test_substring(docs, none):
     assert substring.without_repeats(none).count() == 0
 
 
+def brute_repeats(docs: dict, window: int = 50) -> dict:
+    least, gone = {}, {}
+    words = {d: t.split() for d, t in docs.items()}
+    for d in sorted(words):
+        for k in range(len(words[d]) - window + 1):
+            least.setdefault(tuple(words[d][k : k + window]), d)
+    for d, w in words.items():
+        gone[d] = sorted({j for k in range(len(w) - window + 1) if least[tuple(w[k : k + window])] < d for j in range(k, k + window)})
+    return {d: " ".join(x for k, x in enumerate(w) if k not in set(gone[d])) for d, w in words.items()}
+
+
+@pytest.mark.parametrize("how", [{}, {"sketched": 0, "most": 1}, {"crowded": True}])
+def test_substring_passages(spark, how, monkeypatch):
+    """Passages that many documents share, between words of their own, with repeats inside a document."""
+    if how.pop("crowded", False):
+        monkeypatch.setattr(substring, "LEAST_CELLS", 8)
+        monkeypatch.setattr(substring, "PLACE_CELLS", 0)
+    rng = random.Random(3)
+    passages = [[rng.choice(WORD) for _ in range(n)] for n in (49, 50, 51, 70, 130, 400)]
+    docs = {}
+    for d in range(60):
+        parts = [[rng.choice(WORD) for _ in range(rng.randint(0, 30))]]
+        for p in rng.choices(passages, k=rng.randint(0, 4)):
+            a = rng.randint(0, len(p) // 3)
+            parts += [p[a:], [rng.choice(WORD) for _ in range(rng.randint(0, 30))]]
+        docs[d] = rng.choice([" ", "\n", " \t "]).join(x for p in parts for x in p)
+    docs |= {70: docs[3], 71: docs[3] + " and more", 72: "the " * 300, 73: "the " * 200}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.kept_text for r in substring.without_repeats(df, **how).collect()}
+    assert got == brute_repeats(docs) and sum(map(len, got.values())) < 0.7 * sum(map(len, docs.values()))
+
+
+def test_word_hashes():
+    """The same word has the same hash wherever it stands; pieces and giant words count as any other."""
+    words = [b"a", b"ab", b"ba", b"a" * substring.CHUNK, b"b" * (2 * substring.CHUNK + 5), b"\xc3\xa9", b"x" * 300]
+    alone = [int(substring.word_hashes([w])[0][0]) for w in words]
+    assert len(set(alone)) == len(words)
+    rng = random.Random(1)
+    texts = [b" ".join(rng.choices(words[:3] + words[5:], k=n)) for n in (0, 1, 5, 200_000, 3)] + [b" \t ".join(words), b" " * 300_000, b""]
+    h, counts = substring.word_hashes(texts)
+    known = dict(zip(words, alone, strict=True))
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert h.tolist() == [known[w] for t in texts for w in t.split()]
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a href='/x'>Menu</a></nav>{}<footer>f</footer></body></html>"
     rows = [
@@ -247,3 +335,17 @@ def test_html_template(spark):
     for k in (*range(12), 20, 21):
         assert got[k] == f"Head {k}\nLead {k}\nText {k} {'word ' * 59}word\nEnd {k}"
     assert got[30] == "" and got[31] == "Si" and got[32] == "Own"
+
+
+def test_html_classes(spark):
+    """Headings are no notice whatever their class; deep and long pages take time by their length."""
+    import time
+
+    page = "<html><body><div class='m'>Menu</div><article><header><h1>Head {0}</h1></header><h2 class='related work'>Related {0}</h2><p>Text {0}</p><div class='notice'>Note {0}</div></article></body></html>"
+    deep = "<div>" * 200_000 + "deep text" + "</div>" * 200_000
+    rows = [(k, f"http://a/{k}", page.format(k)) for k in range(5)] + [(None, "http://b/1", deep), (9, "http://c/1", "<p>" * 300_000 + "end")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    began = time.time()
+    got = {r.page_id: r.text for r in html_main.main_texts(df).collect()}
+    assert [got[k] for k in range(5)] == [f"Head {k}\nRelated {k}\nText {k}" for k in range(5)]
+    assert got[None] == "deep text" and got[9] == "end" and time.time() - began < 60

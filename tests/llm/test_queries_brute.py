@@ -78,6 +78,46 @@ def test_op4(spark):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
 
 
+def test_op4_held_out(spark):
+    """Against the labels that the fit has not seen. Some labels are noise: toxic ones of texts without a toxic word, so
+    those of the largest score say whether the words were learnt."""
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in Q.op4_toxicity(spark, sf).collect()}
+    label = {r.doc_id: r.toxic for r in Q.table(spark, sf, "labels").collect() if r.toxic is not None}
+    told = [(label[d], r) for d, r in got.items() if r.held_out and d in label]
+    assert len(told) > 500 and sum(r.predicted == y for y, r in told) >= 0.97 * len(told)
+    clean = [r for y, r in told if not y]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    caught = sum(r.predicted for y, r in told if y)
+    assert caught >= 0.8 * sum(y for y, _ in told)
+
+
+def test_op4_scores(spark, docs):
+    """Scores worked out again word by word from the fitted vectors."""
+    from folia.llm import toxicity
+
+    table = Q.table(spark, SF, "documents")
+    model = toxicity.fit_toxicity(table, Q.table(spark, SF, "labels").where(~Q.held_out()))
+    s, got = model.settings, {r.doc_id: r.score for r in toxicity.score_toxicity(table, model).collect()}
+
+    def share(word):
+        marked = f"<{word}>"
+        grams = [marked[k : k + n] for n in s.lengths for k in range(len(marked) - n + 1)] + [marked]
+        logits = []
+        for g in grams:
+            v = model.vectors[zlib.crc32(g.encode()) % s.buckets].astype(float)
+            if v.any():
+                logits.append(float(v @ (model.softmax[:, 1] - model.softmax[:, 0])))
+        return sum(logits) / max(len(logits), s.known * len(grams), 1)
+
+    for d in sorted(docs)[:40]:
+        words = ALNUM.findall(docs[d].lower())
+        best = max(map(share, words), default=0.0) + float(model.bias[1] - model.bias[0])
+        assert abs(got[d] - 1 / (1 + np.exp(-best))) < 1e-4
+    again = toxicity.fit_toxicity(table.repartition(7), Q.table(spark, SF, "labels").where(~Q.held_out()).repartition(3))
+    assert (again.vectors == model.vectors).all()
+
+
 def test_op6(spark, docs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got, bins, total = defaultdict(list), defaultdict(list), 0
@@ -163,3 +203,55 @@ def test_op10(spark, docs):
         assert r.base_labels == ",".join(base) and set(base) <= set(r.labels.split(",")) | {""}
         assert ("gpl-3" in r.labels) == ("GNU General Public License, version 3" in t)
         assert 0 <= r.score <= 1
+
+
+def distance(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+    return line[-1]
+
+
+def notices(words):
+    """(label, first, last, score) of the notices in a text, by hand: matching 3-grams by diagonal, neighbouring diagonals as
+    one, their words against the template's."""
+    from folia.llm import licenses
+
+    k, out = licenses.GRAM, set()
+    at = defaultdict(list)
+    for i in range(len(words) - k + 1):
+        at[tuple(words[i : i + k])].append(i)
+    for label, text in licenses.TEMPLATES:
+        want = ALNUM.findall(text.translate(LOW))
+        found = sorted((i - j, i, j) for j in range(len(want) - k + 1) for i in at.get(tuple(want[j : j + k]), ()))
+        bands = []
+        for f in found:
+            if bands and f[0] - bands[-1][-1][0] <= licenses.NEAR:
+                bands[-1].append(f)
+            else:
+                bands.append([f])
+        for band in bands:
+            covered = {j + x for _, _, j in band for x in range(k)}
+            if len(covered) / len(want) < licenses.VERIFIED:
+                continue
+            first, last = min(i for _, i, _ in band), max(i for _, i, _ in band) + k
+            a, b = " ".join(words[first:last]), " ".join(want)
+            if (score := 1 - distance(a, b) / max(len(a), len(b))) >= licenses.VERIFIED:
+                out.add((label, first, last, round(score, 9)))
+    return out
+
+
+def test_op10_spans(spark, docs):
+    from folia.llm import licenses
+
+    got = {r.doc_id: r for r in licenses.license_scan(Q.table(spark, SF, "documents")).collect()}
+    n = 0
+    for d, t in docs.items():
+        want, r = notices(ALNUM.findall(t.translate(LOW))), got[d]
+        assert {(s.label, s.first, s.last, round(s.score, 9)) for s in r.spans or ()} == want
+        assert set(r.labels.split(",")) - {""} == set(r.base_labels.split(",")) - {""} | {w[0] for w in want}
+        assert r.n_base or abs(r.score - max((w[3] for w in want), default=0.0)) < 1e-9
+        n += len(want)
+    assert n
