@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import broadcast_if_small, cut, row_key
+from folia.llm.common import broadcast_if_small, cut, row_key, stored
 
 
 def content_hash(text: Column) -> Column:
@@ -22,26 +22,28 @@ def exact_groups(docs: DataFrame, keep: str = "min", hashed: Callable[[Column],
     and each counts in group_size. A null doc_id stays only in a group that has no other; keep_id is null there. An
     empty table gives no rows.
 
-    The aggregate by hash is slim and is pre-aggregated by each task. Only rows of a repeated hash move with their
-    text: to the text of the lowest row under that hash, in a join that Spark splits where it is skewed. There the
-    bytes are compared, and rows whose bytes differ (a collision) are grouped by the bytes themselves.
+    Every row's hash is stored once, without its text. Texts of repeated hashes are grouped by their bytes, which each
+    task does first for its own rows, so of a text one row a task moves. Rows then meet the slim groups by hash
+    alone; only where a hash has several texts (a collision) do they meet by the bytes.
     """
     pick = {"min": F.min, "max": F.max}[keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", row_key().alias("row_key"), "text", hashed(F.col("text")).alias("h"), F.sha2("text", 256).alias("text_sha256"))
-    repeated = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
-    marked = rows.join(broadcast_if_small(repeated), "h", "left")
-    members = marked.where("n is not null")
-    # where no row has an id, or several rows have the lowest, any one text of them
-    stands = members.where("doc_id <=> low").groupBy("h").agg(F.min("text").alias("stands"))
-    differs = F.when(F.col("text") != F.col("stands"), F.col("text"))
-    told = cut(members.join(stands, "h").select("doc_id", "h", "row_key", "text_sha256", differs.alias("other")))
-    same = told.groupBy("h", "other").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
-    same = same.select(F.col("h").alias("g"), F.col("other").alias("o"), "group_size", "keep_id")
-    grouped = told.join(same, F.col("h").eqNullSafe(F.col("g")) & F.col("other").eqNullSafe(F.col("o"))).select(
-        "doc_id", "row_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
-    alone = marked.where("n is null").select(
-        "doc_id", "row_key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
-    return alone.unionByName(grouped)
+    rows = rows.select("doc_id", row_key().alias("row_key"), "text", hashed(F.col("text")).alias("h"))
+    slim = stored(rows.select("doc_id", "row_key", "h", F.sha2("text", 256).alias("text_sha256")), "hashes")
+    repeated = cut(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    members = rows.select("doc_id", "h", "text").join(broadcast_if_small(repeated), "h", "left_semi")
+    texts = members.groupBy("h", "text").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
+    groups = cut(texts.groupBy("h").agg(F.count("*").alias("texts"), F.first("group_size").alias("group_size"), F.first("keep_id").alias("keep_id")))
+    own = ["doc_id", "row_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    collided = groups.where("texts > 1").select("h")
+    both = slim.join(broadcast_if_small(groups), "h", "left")
+    alone = F.col("texts").isNull()
+    single = both.where(alone | (F.col("texts") == 1)).select(
+        "doc_id", "row_key", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), "text_sha256",
+    ).select(*own)
+    if collided.isEmpty():
+        return single
+    same = cut(texts.join(broadcast_if_small(collided), "h", "left_semi"))
+    apart = rows.join(same, ["h", "text"]).withColumn("text_sha256", F.sha2("text", 256)).select(*own)
+    return single.unionByName(apart)
