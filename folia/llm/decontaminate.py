@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,12 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import ALNUM, alnum_words, cut, text_only
+from folia.llm.common import ALNUM, alnum_words, stored, text_only
 
 #: Words of benchmark items in one automaton; a larger benchmark takes several, each in a scan of its own.
 AUTOMATON_WORDS = 2_000_000
 
 
+_BUILT: dict[str, Windows] = {}
+
+
+def _windows(key: str, shared) -> Windows:
+    """The automaton of a broadcast (items, size), built once a worker and not once a task; one is held."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Windows(*shared.value)
+    return _BUILT[key]
+
+
 class Windows:
     """The automaton over windows of the items' words. Its alphabet is word numbers, so that a match starts and ends
     at words, and a window takes as many nodes as words at most."""
@@ -75,18 +87,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most:
     name no item but their windows hit. Rows of equal doc_id each get theirs. An empty benchmark hits nothing.
 
     The benchmark, not the corpus, decides the automaton's size; beyond `most` words it is taken in parts, each
-    scanning all documents, and the parts' results are merged.
+    scanning all documents (numbered once, in a table) and stored before the next part is fetched; results are merged.
     """
     spark, parts = docs.sparkSession, []
     own = ["doc_id", *carry, "copy"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own[:-1])
     schema = f"{kinds}, copy bigint, n_words bigint, words array<array<bigint>>, bytes array<array<bigint>>, items array<string>"
     rows = text_only(docs.withColumn("copy", F.monotonically_increasing_id()), *carry, "copy")
-    for items in _batches_of(benchmark, most):
-        shared = spark.sparkContext.broadcast((items, size))
-
-        def run(batches, shared=shared):
-            windows = Windows(*shared.value)
+    fetched = _batches_of(benchmark, most)
+    items = next(fetched)
+    while items is not None:
+        after = next(fetched, None)
+        if after is not None and not parts:  # copies must have the same numbers in all scans
+            rows = stored(rows, "numbered")
+        shared, key = spark.sparkContext.broadcast((items, size)), uuid.uuid4().hex
+
+        def run(batches, shared=shared, key=key):
+            windows = _windows(key, shared)
             for b in batches:
                 out = []
                 for text in b.column("text").to_pylist():
@@ -109,14 +126,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = 10, most:
                     [*own, "n_words", "words", "bytes", "items"],
                 )
 
-        parts.append(rows.mapInArrow(run, schema))
-    if len(parts) == 1:
-        merged = parts[0]
-    else:  # the ids that tell copies apart must be the same in all parts
-        merged = None
-        for p in parts:
-            p = cut(p)
-            merged = p if merged is None else merged.unionByName(p)
+        part = rows.mapInArrow(run, schema)
+        if after is not None or parts:  # done before the next one's items are held
+            part = stored(part, "part")
+            shared.destroy()
+        parts.append(part)
+        items = after
+    merged = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            merged = merged.unionByName(p)
         lists = {c: F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("words", "bytes")}
         merged = merged.groupBy(*own).agg(
             F.first("n_words").alias("n_words"), *lists.values(), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
