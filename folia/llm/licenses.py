@@ -58,6 +58,8 @@ TEMPLATES = [
 GRAM = 3
 NEAR = 2
 VERIFIED = 0.8
+#: Spans that are broadcast at most, four values each; more meet their texts in a shuffle.
+BROADCAST_SPANS = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,10 +101,10 @@ def base_places(words: str, phrases: dict[str, str]) -> Column:
 
 
 def template_spans(docs: DataFrame, k: int = GRAM, near: int = NEAR, verified: float = VERIFIED) -> DataFrame:
-    """doc_id, row_key, label, first, last (word after the span), score of every verified span.
+    """doc_id, row_key, template, label, notice, first, last (word after the span), share of every span that may be a notice.
 
-    docs has doc_id, row_key and words. The score is the share of the template's words that the span has in order at
-    the merged diagonals; a span counts from `verified` on.
+    docs has doc_id, row_key and words. share is the part of the template's words that lie in a k-gram found at the merged
+    diagonals; a span counts from `verified` on.
     """
     templates = template_grams(docs.sparkSession, k)
     places = F.broadcast(templates.select("template", "at", "h"))  # one row a word of TEMPLATES
@@ -130,7 +132,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None) -> Data
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for each row.
 
     Base: the places where a phrase's words stand one after another. labels adds those of verified template spans.
-    score is the largest share of a template that a verified span has, 1 where a base phrase stands, 0 without any.
+    score is the largest likeness of a verified span to its template (one less their edit distance over the longer one's
+    length), 1 where a base phrase stands, 0 without any.
     A null text counts as empty; a row without words has zero counts, null places and empty labels. Rows of equal
     doc_id each get theirs.
     """
@@ -150,7 +153,10 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None) -> Data
         F.collect_set("label").alias("more"), F.max("score").alias("best"),
         F.array_sort(F.collect_set(F.struct("first", "last", "label", "score"))).alias("spans"),
     )
-    both = based.join(broadcast_if_small(found, 20_000), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
+    found = cut(found)  # worked out once, for its size and for the join
+    n_spans = found.agg(F.sum(F.size("spans"))).first()[0] or 0
+    found = F.broadcast(found) if n_spans <= BROADCAST_SPANS else found
+    both = based.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return both.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
@@ -161,8 +167,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None) -> Data
 
 def verify(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans whose words are near enough to the template's: the edit distance of the texts, letter by letter, is at
-    most a fifth of the template's length."""
-    ids = spans.select(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).distinct()
+    most a fifth of the longer text's length."""
+    ids = cut(spans.select(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).distinct())
     texts = rows.join(
         broadcast_if_small(ids), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left_semi"
     ).dropDuplicates(["doc_id", "row_key"]).select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "words")
