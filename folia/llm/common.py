@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="folia-")
     sc.setCheckpointDir(own)
     return own

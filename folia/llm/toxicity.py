@@ -1,9 +1,10 @@
-"""Toxicity from subword bags: character n-gram vectors are averaged over a segment of words and go into a linear
-softmax; vectors and softmax are trained jointly, in numpy. A document is as toxic as its most toxic segment, so that
-a few words count in a text of any length; misspellings that no label has shown share n-grams with known words."""
+"""Toxicity from subword bags: character n-gram vectors are averaged over a segment of words (by default one) and go into
+a linear softmax; vectors and softmax are trained jointly, in numpy. A document is as toxic as its most toxic segment,
+so that a few words count in a text of any length; misspellings that no label has shown share n-grams with known words."""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterable
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folia.llm.common import alnum_words, text_only
 from folia.llm.tokens import Remembered
@@ -27,13 +29,15 @@ class Settings:
     buckets: int = 1 << 18  # n-gram hashes, a power of two
     dim: int = 8
     lengths: tuple[int, ...] = (3, 4, 5)
-    segment: int = 8  # words
-    seen: int = 4  # words, each counted once a document, that must have an n-gram before it counts
+    segment: int = 1  # words in a bag; in longer ones the neighbours of a toxic word can drown it
+    seen: int = 5  # words, each counted once a document, that must have an n-gram before it counts
+    known: float = 0.5  # least share of its n-grams that a word's sum is divided by; others that no label has shown don't dilute it
+    drop: float = 0.3  # share of n-grams left out of a step, so that each learns to speak for its word
     warm: int = 30  # steps in which every segment has its document's label
-    steps: int = 90  # steps in all; later ones look at each document's most toxic segment
+    steps: int = 90  # steps in all; later ones look at each document's most toxic segment and at those that count as toxic
     again: int = 6  # steps between two searches for these segments
     rate: float = 0.1
-    decay: float = 1e-4
+    decay: float = 0.1
     seed: int = 42
 
 
@@ -78,6 +82,12 @@ class _Bags:
         by_type = np.bincount(self.word, (error / self.lengths)[self.of], len(self.size)) / self.size
         return np.bincount(self.flat, by_type[self.owner], buckets)
 
+    def thinned(self, keep: np.ndarray) -> _Bags:
+        """Some of the n-grams of each word, averaged as if they were all."""
+        held = np.bincount(self.owner[keep], minlength=len(self.size))
+        size = np.maximum(1, self.size * (held / np.maximum(1, self.held)))
+        return _Bags(self.flat[keep], held, size, self.word, self.lengths)
+
     def only(self, rows: np.ndarray) -> _Bags:
         """These segments, and the words in them."""
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(self.first[rows].tolist(), self.lengths[rows].tolist(), strict=True)])
@@ -101,7 +111,8 @@ def fit(docs: Iterable[list[bytes]], labels: np.ndarray, s: Settings = Settings(
     at, full = [], []
     for k, words in enumerate(docs):  # of a document only the numbers of its words are held
         if words:
-            at.append(np.fromiter((types.setdefault(w, len(types)) for w in words), np.int32, len(words)))
+            own = np.fromiter((types.setdefault(w, len(types)) for w in words), np.int32, len(words))
+            at.append(np.unique(own) if s.segment == 1 else own)  # a bag that stands twice says no more
             full.append(k)
     if not full or len(set(labels[full].tolist())) < 2:
         return Model(np.zeros_like(vectors), softmax, bias, s)
@@ -123,15 +134,19 @@ def fit(docs: Iterable[list[bytes]], labels: np.ndarray, s: Settings = Settings(
     lengths = np.concatenate([np.minimum(s.segment, len(a) - np.arange(0, len(a), s.segment)) for a in at])
     word = np.concatenate(at)
     doc_first = _starts(np.array(part))
-    bags = _Bags(flat, np.bincount(owner, minlength=len(size)), size, word, lengths)
+    held = np.bincount(owner, minlength=len(size))
+    bags = _Bags(flat, held, np.maximum(np.maximum(held, 1), size * s.known), word, lengths)
     whole, target, weight = bags, y[doc], (1 / np.array(part))[doc] / len(at)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
     for step in range(s.steps):
         if step >= s.warm and (step - s.warm) % s.again == 0:
             logit = whole.means(vectors @ (softmax[:, 1] - softmax[:, 0]))
-            high = np.flatnonzero(logit == np.maximum.reduceat(logit, doc_first)[doc])
-            rows = high[np.unique(doc[high], return_index=True)[1]]  # the first of each document's highest
-            bags, target, weight = whole.only(rows), y[doc[rows]], np.full(len(rows), 1 / len(at))
+            rows = np.flatnonzero((logit == np.maximum.reduceat(logit, doc_first)[doc]) | (logit + bias[1] - bias[0] > 0))
+            # the toxic segments of a toxic document share its weight; in a clean one each is wrong
+            shared = np.bincount(doc[rows], minlength=len(at))[doc[rows]]
+            bags, target = whole.only(rows), y[doc[rows]]
+            weight = np.where(target > 0, 1 / shared, 1.0) / len(at)
+            bags = bags.thinned(rng.random(len(bags.flat)) >= s.drop)
         out = softmax[:, 1] - softmax[:, 0]
         logit = bags.means(vectors @ out) + (bias[1] - bias[0])
         error = (1 / (1 + np.exp(-logit)) - target) * weight
@@ -164,7 +179,8 @@ class Scorer:
 
     def _share(self, word: bytes) -> float:
         grams = ngrams(word, self.s)
-        return sum(map(self.value.__getitem__, grams)) / len(grams)
+        told = [x for x in map(self.value.__getitem__, grams) if x]
+        return sum(told) / max(len(told), len(grams) * self.s.known, 1)
 
     def score(self, text: bytes) -> float:
         words = lowered(text)
@@ -176,27 +192,37 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(mean.max() + self.base, -500, 500))))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, shared) -> Scorer:
+    """The scorer of a broadcast model, made once a worker and not once a task; one is held."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(shared.value)
+    return _SCORERS[key]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, s: Settings = Settings()) -> Model:
     """A model from at most `rows` labelled documents; labels has doc_id and toxic (1 or 0; null: not labelled).
 
-    Repeated labels count as the largest. The fit runs as one task; all tasks scan, and only chosen texts move to it.
+    Repeated labels count as the largest, and of rows of equal doc_id the fit takes the least text. The fit runs as one task;
+    all tasks scan, and only the chosen texts move to it, whole.
     """
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mixed = (F.xxhash64("doc_id"), F.col("doc_id"))
     toxic = told.where("toxic = 1").orderBy(*mixed).limit(rows // 2)
     clean = told.where("toxic = 0").orderBy(*mixed).limit(rows - rows // 2)
     chosen = F.broadcast(toxic.unionByName(clean))
-    # of rows of equal id the fit may see several; the bound on ids bounds the broadcast
-    texts = text_only(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    texts = text_only(docs).join(chosen, "doc_id").withColumn("toxic", F.col("toxic").cast("bigint")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = texts.select("doc_id", "text", "toxic").repartition(1)
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches):
-        got = [
-            (doc_id, t, y)
-            for b in batches
-            for doc_id, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)
-        ]
-        got.sort(key=lambda x: (str(x[0]), x[1]))
-        m = fit((lowered(t) for _, t, _ in got), np.array([y for *_, y in got], np.int64), s)
+        rows = pa.Table.from_batches(batches, pa.schema([("doc_id", id_type), ("text", pa.binary()), ("toxic", pa.int64())]))
+        rows = rows.sort_by("doc_id")
+        m = fit((lowered(t.as_py()) for t in rows["text"]), rows["toxic"].to_numpy(), s)
         used = np.flatnonzero(m.vectors.any(axis=1))
         yield pa.RecordBatch.from_pylist(
             [{"used": used.astype("<i4").tobytes(), "vectors": m.vectors[used].tobytes(), "softmax": m.softmax.tobytes(), "bias": m.bias.tobytes()}]
@@ -216,11 +242,10 @@ def score_toxicity(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     A null or empty text, or one without words, scores what the share of toxic labels says. Only the text is read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scorers: dict[int, Scorer] = {}
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        scorer = scorers.setdefault(0, Scorer(shared.value))
+        scorer = _scorer(key, shared)
         for b in batches:
             scores = pa.array([scorer.score(t) for t in b.column("text").to_pylist()], pa.float64())
             kept = [c for c in b.schema.names if c != "text"]
