@@ -16,7 +16,8 @@ from folia.functions import arrow, html_text
 from folia.functions.columns import doc_hash, file_class
 from folia.sources import msg, sheets
 
-MAX_BYTES = 50 << 20
+#: Bytes of a text file that is read, and of a file that is taken at all.
+MAX_BYTES, MAX_UPLOAD = 50 << 20, 100 << 20
 CSV_ROWS = 10_000
 
 
@@ -58,35 +59,46 @@ def eml_markdown(raw: bytes) -> str:
     return f"{head}\n\n{text.strip()}".strip()
 
 
+def plain(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
+
+
 READERS = {
     "csv": csv_markdown, "eml": eml_markdown, "msg": msg.msg_markdown, "xlsx": sheets.workbook_markdown, "xlsm": sheets.workbook_markdown,
-    "html": lambda b: html_text.markdown(b.decode("utf-8", "replace")), "htm": lambda b: html_text.markdown(b.decode("utf-8", "replace")),
+    **dict.fromkeys(("txt", "md", "markdown"), plain), **dict.fromkeys(("html", "htm"), lambda b: html_text.markdown(plain(b))),
 }
 
 
+def read_one(path: str, raw: bytes) -> str:
+    ext = path.rpartition(".")[2].lower()
+    if ext not in READERS:
+        raise ValueError(f".{ext} files need a converter that is not part of this package")
+    return READERS[ext](raw)
+
+
 @F.pandas_udf(arrow.struct(text=T.StringType(), error=T.StringType()))
 def _read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = []
     for p, raw in zip(path, content, strict=True):
         try:
-            rows.append((READERS[p.rpartition(".")[2].lower()](bytes(raw)), None))
+            rows.append((read_one(p, bytes(raw)), None))
         except Exception as e:  # a file that can't be read is a row with its error, not the end of the job
             rows.append((None, f"{type(e).__name__}: {e}"))
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
 def text_of(path: Column, content: Column) -> Column:
-    """struct(text, error): plain text and Markdown are decoded by the JVM, the rest by their readers."""
-    ext = F.regexp_extract(F.lower(path), r"\.([^./\\]+)$", 1)
-    plain = F.struct(F.decode(content, "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
-    return F.when(ext.isin("txt", "md", "markdown"), plain).otherwise(_read(path, content))
+    """struct(text, error). Plain text with malformed bytes is read with replacement characters."""
+    return _read(path, content)
 
 
 def read_files(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
-    """path, doc_id, kind, length, text, error of every file in a folder that has a reader. Files over the limit are
-    rows with an error; their content is never read, since the length is a column of its own in the scan."""
+    """path, doc_id, kind, length, text, error of every text, table and mail file in a folder. Files over the limit (of any
+    kind MAX_UPLOAD), files that no reader takes and broken ones are rows with an error; the content of those over it is
+    never read, since the length is a column of its own in the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.withColumn("kind", file_class(F.col("path"))).where("kind in ('text', 'csv', 'spreadsheet')")
+    most = F.least(F.lit(MAX_UPLOAD), F.when(F.col("kind") == "spreadsheet", F.lit(MAX_UPLOAD)).otherwise(F.lit(most)))
     small = files.where(F.col("length") <= most)
     got = small.select("path", doc_hash(F.col("content")).alias("doc_id"), "kind", "length", text_of(F.col("path"), F.col("content")).alias("t"))
     got = got.select("path", "doc_id", "kind", "length", "t.text", "t.error")

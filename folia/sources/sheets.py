@@ -8,7 +8,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-ROWS, COLUMNS, UNZIPPED, CELLS = 10_000, 256, 512 << 20, 5_000_000
+ROWS, COLUMNS, UNZIPPED = 10_000, 256, 512 << 20
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 CHART = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
@@ -103,7 +103,7 @@ class Workbook:
                 out[at[0], at[1]] = text
         for m in root.iter(f"{MAIN}mergeCell"):
             at = cell_range(m.get("ref", ""))
-            if at and (at[0], at[1]) in out and (at[2] - at[0] + 1) * (at[3] - at[1] + 1) <= CELLS:
+            if at and (at[0], at[1]) in out:  # of a larger range what a table can show
                 out |= {(r, c): out[at[0], at[1]] for r in range(at[0], min(at[2], at[0] + ROWS) + 1) for c in range(at[1], min(at[3], at[1] + COLUMNS) + 1)}
         return out
 
@@ -132,43 +132,74 @@ def _title(e: ElementTree.Element | None) -> str:
     return "" if e is None else "".join(t.text or "" for t in e.iter(TEXT)).strip() or (e.findtext(f".//{CHART}v") or "")
 
 
-def chart_tables(root: ElementTree.Element) -> list[tuple[str, list[list[str]]]]:
-    """(title, rows) of a chart: series with the same categories are columns of one table, others have one each."""
-    title = _title(root.find(f".//{CHART}chart/{CHART}title")) or "Chart"
+#: Elements of a chart's plot and what the chart is called by them.
+KINDS = {
+    "barChart": "bar", "bar3DChart": "bar", "lineChart": "line", "line3DChart": "line", "pieChart": "pie", "pie3DChart": "pie", "areaChart": "area", "area3DChart": "area",
+    "doughnutChart": "doughnut", "scatterChart": "scatter", "radarChart": "radar", "bubbleChart": "bubble", "surfaceChart": "surface", "stockChart": "stock",
+}
+
+
+class Series:
+    """A series of a chart: its name, values, categories and where its values come from."""
+
+    def __init__(self, s: ElementTree.Element, nth: int):
+        part = lambda *names: next((e for e in (s.find(f"{CHART}{n}") for n in names) if e is not None), None)
+        values = part("val", "yVal")
+        self.name = _title(part("tx")) or f"Series {nth}"
+        self.source = None if values is None else values.findtext(f".//{CHART}f")
+        self.external = bool(self.source and "[" in self.source)
+        self.values = [] if self.external else _points(values)[:ROWS]
+        self.categories = _points(part("cat", "xVal"))[:ROWS]
+
+    def header(self, unit: str) -> str:
+        return self.name if not unit or unit.lower() in self.name.lower() else f"{self.name} ({unit})"
+
+
+def chart_markdown(root: ElementTree.Element) -> str:
+    """A chart as its table: a heading with its kind, title and source, then series with the same categories as columns of one
+    table, others each for itself. Axis titles name the categories and the values' unit."""
+    from folia.sources.mail import grid
+
+    title = _title(root.find(f".//{CHART}chart/{CHART}title")) or "(untitled)"
+    kind = next((KINDS[e.tag.removeprefix(CHART)] for e in root.iter() if e.tag.removeprefix(CHART) in KINDS), "chart")
     axes = root.findall(f".//{CHART}catAx") + root.findall(f".//{CHART}dateAx")
-    x, y = (_title(a[0].find(f"{CHART}title")) if a else "" for a in (axes, root.findall(f".//{CHART}valAx")))
-    series = []
-    for k, s in enumerate(root.iter(f"{CHART}ser"), 1):
-        name = _title(s.find(f"{CHART}tx")) or f"Series {k}"
-        first = next((e for e in (s.find(f"{CHART}{n}") for n in ("cat", "xVal")) if e is not None), None)
-        second = next((e for e in (s.find(f"{CHART}{n}") for n in ("val", "yVal")) if e is not None), None)
-        series.append((f"{name} ({y})" if y else name, _points(first), _points(second)))
-    series = [s for s in series if s[2]] if any(s[2] for s in series) else []
+    x, y = (_title(a[0].find(f"{CHART}title")) if a and kind not in ("pie", "doughnut") else "" for a in (axes, root.findall(f".//{CHART}valAx")))
+    series = [Series(s, k) for k, s in enumerate(root.iter(f"{CHART}ser"), 1)]
+    source = next((s.source for s in series if s.source), None)
+    out = [f"### Chart ({kind}): {title}" + (f" — source: {source}" if source else "")]
     if not series:
-        return []
-    if len({tuple(c) for _, c, _ in series}) == 1 and all(v for _, _, v in series):
-        groups = [series]
+        out.append("_(no series)_")
+    elif all(s.values and s.categories for s in series) and len({tuple(s.categories) for s in series}) == 1:
+        column = lambda s: [*s.values, *[""] * len(s.categories)][: len(s.categories)]
+        rows = zip(series[0].categories, *map(column, series), strict=True)
+        out.append(grid([[x or "Category", *(s.header(y) for s in series)], *map(list, rows)]))
     else:
-        groups = [[s] for s in series]
-    out = []
-    for group in groups:
-        cats, n = group[0][1], max(len(s[2]) for s in group)
-        rows = [[x or "Category", *(s[0] for s in group)]]
-        rows += [[cats[k] if k < len(cats) else str(k + 1), *(s[2][k] if k < len(s[2]) else "" for s in group)] for k in range(n)]
-        out.append((title, rows))
-    return out
+        for s in series:
+            if not s.values:
+                out.append(f"**Series: {s.name}** _({'external reference' if s.external else 'no data'})_")
+            elif len(s.categories) == len(s.values):
+                out.append(grid([[x or "Category", s.header(y)], *map(list, zip(s.categories, s.values, strict=True))]))
+            else:
+                out.append(grid([[s.header(y)], *([v] for v in s.values)]))
+    return "\n\n".join(out)
+
+
+def sheet_class(cells: dict, charts: list) -> str:
+    """empty, chart, mixed or data."""
+    return {(False, False): "empty", (False, True): "chart", (True, True): "mixed"}.get((bool(cells), bool(charts)), "data")
 
 
 def workbook_markdown(raw: bytes) -> str:
-    """Each sheet under its heading: its cells as a table, then its charts."""
+    """Each sheet under its heading: its cells as a table, then its charts; a sheet without either says that it is empty."""
     from folia.sources.mail import grid
 
     book, out = Workbook(raw), []
     for name in book.sheets:
-        parts = [f"## Sheet: {name}"]
-        if table := grid(data_rows(book.cells(name))):
-            parts.append(table)
-        parts += [f"### {title}\n\n{grid(rows)}" for c in book.charts(name) for title, rows in chart_tables(c)]
-        if len(parts) > 1:
-            out.append("\n\n".join(parts))
+        cells, charts = book.cells(name), book.charts(name)
+        out.append(f"## Sheet: {name}")
+        if sheet_class(cells, charts) == "empty":
+            out.append("_(empty sheet)_")
+        if cells:
+            out.append(grid(data_rows(cells)))
+        out += map(chart_markdown, charts)
     return "\n\n".join(out)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from folia.functions.completions import compression, periodic, repeated
+from folia.functions.completions import TAIL, compression, periodic, repeated
 
 
 @dataclass
@@ -30,7 +30,8 @@ class Limits:
 @dataclass
 class LoopGuard:
     limits: Limits = field(default_factory=Limits)
-    text: str = ""
+    text: str = ""  # what the measures read: all if repeats are looked for, else the end
+    size: int = 0  # characters of the whole
     next_look: int = 0
     strikes: int = 0
     long_strikes: int = 0
@@ -46,22 +47,26 @@ class LoopGuard:
         if self.fired:
             return None
         self.text += piece
+        self.size += len(piece)
+        x = self.limits
+        if not x.repeated and len(self.text) > 2 * (most := max(TAIL, x.window, x.long_window or 0)):
+            self.text = self.text[-most:]
         if tokens is not None:
             self.usage = max(self.usage or 0, tokens)
             if self.limits.tokens and tokens > self.limits.tokens:
                 return self._fire("token_cap")
-        if len(self.text) < self.next_look:
+        if self.size < self.next_look:
             return None
-        self.next_look = len(self.text) + self.limits.every
+        self.next_look = self.size + self.limits.every
         which = self._look()
         return self._fire(which) if which else None
 
     def _fire(self, which: str) -> str:
-        self.fired, self.at = which, len(self.text)
+        self.fired, self.at = which, self.size
         return which
 
     def _look(self) -> str | None:
-        x, n = self.limits, len(self.text)
+        x, n = self.limits, self.size
         if x.length and n >= x.length and not (x.tokens and self.usage is not None):
             return "length_cap"
         self.strikes = self.strikes + 1 if compression(self.text[-x.window :]) > x.ratio else 0

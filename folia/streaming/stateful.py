@@ -16,6 +16,8 @@ from folia.streaming.guards import JsonCloseGuard, Limits, LoopGuard
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEY = ["doc_id", "page", "attempt"]
+#: State that no piece has touched for so long goes: its stream was broken off.
+IDLE_MS = 24 * 3600 * 1000
 FIRED = "doc_id bigint, page int, attempt int, guard string, at_chars bigint"
 
 
@@ -47,12 +49,23 @@ def replay(pieces: DataFrame, limits: Limits | None = None) -> DataFrame:
     return pieces.groupBy(*KEY).applyInPandas(run, FIRED)
 
 
+def compared(pieces: DataFrame, old: Limits, new: Limits) -> DataFrame:
+    """Two sets of limits over stored pieces, one row a stream: which guard of each fires and where; null where none does."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [fold(rows, JsonCloseGuard(), LoopGuard(x)) or (None, None) for x in (old, new)]
+        out = pd.DataFrame([(*key, int(rows["piece"].str.len().sum()), *found[0], *found[1])], columns=[*KEY, "chars", "old", "old_at", "new", "new_at"])
+        return out.astype({"old_at": "Int64", "new_at": "Int64"})
+
+    return pieces.groupBy(*KEY).applyInPandas(run, "doc_id bigint, page int, attempt int, chars bigint, old string, old_at bigint, new string, new_at bigint")
+
+
 class _Guards(StatefulProcessor):
     def __init__(self, limits: Limits):
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("guards", "close string, loop string")
+        self.state = handle.getValueState("guards", "close string, loop string", ttlDurationMs=IDLE_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         close, loop = JsonCloseGuard(), LoopGuard(self.limits)
@@ -77,14 +90,14 @@ def guarded(pieces: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The guards over a stream of doc_id, page, attempt, seq, piece, last. Batches must bring a stream's pieces in
     order; within a batch they are sorted."""
     return pieces.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=_Guards(limits or Limits()), outputStructType=FIRED, outputMode="Append", timeMode="None"
+        statefulProcessor=_Guards(limits or Limits()), outputStructType=FIRED, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
 class _InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "page int")
-        self.held = handle.getMapState("held", "page int", "text string")
+        self.next = handle.getValueState("next", "page int", ttlDurationMs=IDLE_MS)
+        self.held = handle.getMapState("held", "page int", "text string", ttlDurationMs=IDLE_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.next.get()[0] if self.next.exists() else 1
@@ -107,7 +120,7 @@ def in_page_order(pages: DataFrame) -> DataFrame:
     """Pages of a stream (doc_id, page, text) in order: page k waits until pages 1 to k - 1 have come; repeats of a
     page that has gone out are dropped."""
     return pages.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=_InOrder(), outputStructType="doc_id bigint, page int, text string", outputMode="Append", timeMode="None"
+        statefulProcessor=_InOrder(), outputStructType="doc_id bigint, page int, text string", outputMode="Append", timeMode="ProcessingTime"
     )
 
 
@@ -119,7 +132,7 @@ class _Sections(StatefulProcessor):
         self.limit, self.overlap = limit, overlap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "n int, paragraphs array<string>")
+        self.held = handle.getValueState("held", "n int, paragraphs array<string>", ttlDurationMs=IDLE_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, held = self.held.get() if self.held.exists() else (0, [])
@@ -152,7 +165,7 @@ class _Sections(StatefulProcessor):
 def sections(pages: DataFrame, limit: int = 6000, overlap: int = 1000) -> DataFrame:
     """A stream of doc_id, page, text, last as sections: doc_id, section, text. What is left comes with the last page."""
     return pages.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=_Sections(limit, overlap), outputStructType="doc_id bigint, section int, text string", outputMode="Append", timeMode="None"
+        statefulProcessor=_Sections(limit, overlap), outputStructType="doc_id bigint, section int, text string", outputMode="Append", timeMode="ProcessingTime"
     )
 
 

@@ -45,10 +45,45 @@ def test_workbook():
     )
     got = sheets.workbook_markdown(workbook(sheet, chart(("S", "xy", "12"), ("T", "xy", "34")), chart(("U", "x", "1"), ("V", "y", "2"))))
     assert got.startswith("## Sheet: One\n\n| a\\|b | two runs |\n| --- | --- |\n| 3 | 2024-01-01 |\n| 1.5 | 1.5 |")
-    assert "| Category | S | T |\n| --- | --- | --- |\n| x | 1 | 3 |\n| y | 2 | 4 |" in got and got.count("### Chart") == 3
+    assert "| Category | S | T |\n| --- | --- | --- |\n| x | 1 | 3 |\n| y | 2 | 4 |" in got and got.count("### Chart") == 2
     assert sheets.cell_range("[1]S!A1") is None and sheets.cell_range("S!$B$2:$C$4") == (2, 2, 4, 3) and sheets.column_number("AA") == 27
 
 
+def test_charts():
+    body = '<c:{k}Chart><c:ser><c:tx><c:v>{n}</c:v></c:tx><c:val><c:numRef><c:f>{f}</c:f><c:numCache>{p}</c:numCache></c:numRef></c:val></c:ser></c:{k}Chart>'
+    whole = '<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><c:chart>{}<c:plotArea>{}</c:plotArea></c:chart></c:chartSpace>'
+    title = "<c:title><c:tx><c:rich><a:p><a:r><a:t>Sales</a:t></a:r></a:p></c:rich></c:tx></c:title>"
+    unit = "<c:valAx><c:title><c:tx><c:rich><a:p><a:r><a:t>USD</a:t></a:r></a:p></c:rich></c:tx></c:title></c:valAx>"
+    points = '<c:pt idx="0"><c:v>1</c:v></c:pt><c:pt idx="1"><c:v>2</c:v></c:pt>'
+    made = lambda head, parts: sheets.chart_markdown(sheets.ElementTree.fromstring(whole.format(head, parts)))
+    one = made(title, body.format(k="line", n="Revenue", f="S!$B$2:$B$3", p=points) + unit)
+    assert one == "### Chart (line): Sales — source: S!$B$2:$B$3\n\n| Revenue (USD) |\n| --- |\n| 1 |\n| 2 |"
+    assert made("", body.format(k="pie", n="In USD", f="[1]S!A1", p=points) + unit) == "### Chart (pie): (untitled) — source: [1]S!A1\n\n**Series: In USD** _(external reference)_"
+    assert made("", "<c:barChart/>") == "### Chart (bar): (untitled)\n\n_(no series)_"
+    assert sheets.workbook_markdown(workbook("<sheetData/>")) == "## Sheet: One\n\n_(empty sheet)_"
+    assert [sheets.sheet_class(*x) for x in (({}, []), ({}, [1]), ({1: 1}, [1]), ({1: 1}, []))] == ["empty", "chart", "mixed", "data"]
+
+
+def test_broken_files(spark, tmp_path):
+    """A folder with a broken file of each kind is read whole."""
+    files = {
+        "a.txt": b"caf\xe9 \xff", "b.md": b"\xc3", "c.html": b"<p>x\xff", "d.csv": b"a,b\n\xff,1\n", "e.eml": b"\xff\xfe no mail", "f.msg": b"no compound file", "g.xlsx": b"PK no zip",
+        "h.rtf": b"{\\rtf1 x}", "i.xls": b"\xd0\xcf", "j.ods": b"PK", "k.pdf": b"%PDF",
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rpartition("/")[2]: r for r in mail.read_files(spark, str(tmp_path)).collect()}
+    assert set(got) == set(files) - {"k.pdf"} and got["a.txt"].text == "caf\ufffd \ufffd" and got["b.md"].text == "\ufffd" and got["c.html"].text == "x\ufffd"
+    assert "\ufffd" in got["d.csv"].text and got["e.eml"].error is None
+    for name in ("f.msg", "g.xlsx", "h.rtf", "i.xls", "j.ods"):
+        assert got[name].text is None and got[name].error
+    assert "converter" in got["h.rtf"].error and "converter" in got["i.xls"].error
+    from folia.operators import document
+
+    raw = document.response(document.raw_documents(mail.read_files(spark, str(tmp_path)).where("path like '%a.txt'"))).first().json
+    assert '"modality":"deterministic"' in raw and '"total_pages":1' in raw and "metadata" not in raw
+
+
 def test_csv():
     assert mail.csv_markdown(b'a,b\n"x|y","1\n2"\nz\n') == "| a | b |\n| --- | --- |\n| x\\|y | 1 2 |\n| z |  |"
     assert mail.csv_markdown(b"h\n1\n2\n3\n", 2) == "| h |\n| --- |\n| 1 |" and mail.csv_markdown(b"") == ""
