@@ -3,6 +3,7 @@ would not change in the JVM: call them behind a filter or on the branch that nee
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -41,20 +42,25 @@ def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-@F.pandas_udf(struct(verdict=T.StringType(), error=T.StringType(), chars=T.LongType()))
+@F.pandas_udf(struct(verdict=T.StringType(), error=T.StringType(), chars=T.LongType(), page=T.StringType()))
 def gate(text: pd.Series, finish: pd.Series) -> pd.DataFrame:
+    """The verdict; of an ok completion its content's length and its page, mended, as JSON."""
     rows = []
     for t, f in zip(text, finish, strict=True):
-        verdict, why = completions.gate(t or "", f)
-        page = completions.lenient(t)[0] if verdict == "ok" else None
-        rows.append({"verdict": verdict, "error": why, "chars": completions.content_chars(page) if page else 0})
-    return pd.DataFrame(rows, columns=["verdict", "error", "chars"])
+        verdict, why, page = completions.gated(t or "", f)
+        ok = verdict == "ok"
+        rows.append((verdict, why, completions.content_chars(page) if ok else 0, json.dumps(page, ensure_ascii=False) if ok else None))
+    return pd.DataFrame(rows, columns=["verdict", "error", "chars", "page"])
+
+
+@F.pandas_udf(struct(text=T.StringType(), error=T.StringType()))
+def fallback_page(text: pd.Series, finish: pd.Series) -> pd.DataFrame:
+    pages = [completions.fallback_page(t, f) for t, f in zip(text, finish, strict=True)]
+    return pd.DataFrame({"text": [None if p is None else json.dumps(p, ensure_ascii=False) for p in pages], "error": [None if p else "not rescued" for p in pages]})
 
 
 @F.pandas_udf(struct(value=T.StringType(), error=T.StringType()))
 def lenient_json(text: pd.Series) -> pd.DataFrame:
-    import json
-
     found = [completions.lenient(t) for t in text]
     return pd.DataFrame({"value": [None if v is None else json.dumps(v, ensure_ascii=False, sort_keys=True) for v, _ in found], "error": [e for _, e in found]})
 

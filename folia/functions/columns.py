@@ -282,3 +282,31 @@ def last_part(text: Column, most: int = 4000) -> Column:
 def chunk_cap(text: Column, most: int, least: int = 2048) -> Column:
     """Output tokens for a chunk: two and a half times its own, within bounds."""
     return F.greatest(F.lit(least), F.least((F.floor(F.length(text) / 4) * 2.5).cast("int"), F.lit(most)))
+
+
+def row_count(html: Column) -> Column:
+    """Rows of a table's markup."""
+    return F.regexp_count(F.coalesce(html, F.lit("")), F.lit("<tr"))
+
+
+def refined(new: Column, first: Column, second: Column, joined: Column) -> Column:
+    """A model's reading of a table over two pages, if it has at least the rows of the larger part; else the parts joined."""
+    enough = new.contains("<table") & (row_count(new) >= F.greatest(row_count(first), row_count(second)))
+    return F.when(F.coalesce(enough, F.lit(False)), new).otherwise(joined)
+
+
+def checkable(figure_id: Column, crop_path: Column, bbox: Column) -> Column:
+    """Figures that a model may judge: with a crop and a box, and no stand-in for a failed page nor a picture of a workbook."""
+    own = ~figure_id.endswith("_pagefail") & ~figure_id.contains("_embedded_")
+    return F.coalesce((crop_path != "") & bbox.isNotNull() & own, F.lit(False))
+
+
+def detected(label: Column, score: Column, area: Column, page_area: Column, picture: str = "Picture", least: float = 0.5, most: float = 0.9) -> Column:
+    """Detections that count as figures: pictures, sure enough, and not nearly the whole page."""
+    return (label == picture) & (score >= least) & (area / page_area <= most)
+
+
+def figure_verdict(reply: Column) -> Column:
+    """figure or artifact, if that word with dots around it is all that a model replied; else null."""
+    word = F.lower(F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?U)^\s*\.*\s*|\s*\.*\s*$", ""))
+    return F.when(word.isin("figure", "artifact"), word)

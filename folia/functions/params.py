@@ -50,3 +50,42 @@ def one_of(value, known: tuple[str, ...], name: str) -> str:
     if value not in known:
         raise ValueError(f"{name} is one of {', '.join(known)}, not {value!r}")
     return value
+
+
+#: How a document's summary can be made, bounds of its length, and contracts.
+SUMMARY_MODES = ("deterministic", "contract_sos", "summary_of_summaries", "model", "off")
+SUMMARY_CHARS = (200, 20_000)
+CONTRACTS = ("v0.4", "v0.5")
+
+
+def summary_mode(value) -> str:
+    return one_of(str(value).strip().lower(), SUMMARY_MODES, "summary mode")
+
+
+def summary_chars(value) -> int:
+    word = str(value).strip()
+    if not word.lstrip("+-").isdecimal():
+        raise ValueError(f"summary max chars is an integer, not {value!r}")
+    return int(within(word, *SUMMARY_CHARS, "summary max chars"))
+
+
+def contract(value, aliases: dict[str, str] | None = None) -> str:
+    """A contract's name; a full version stands for its line ("v0.4.1" for "v0.4"), an alias for what it names."""
+    word = "" if value is None else str(value).strip().lower()
+    line = ".".join(word.split(".")[:2])
+    if word not in CONTRACTS and line in CONTRACTS and word[len(line) + 1 :].isdecimal():
+        word = line
+    return one_of((aliases or {}).get(word, word) if word not in CONTRACTS else word, CONTRACTS, "contract")
+
+
+#: What a request may override, and how each is read.
+DECODE = {
+    "temperature": temperature, "retry_temperature": lambda v: temperature(v, "retry_temperature"), "seed_policy": seed_policy,
+    "retry_enforce": lambda v: flag(v, "retry_enforce"), "contract": contract, "figure_check": lambda v: flag(v, "figure_check"),
+    "heading_fix": lambda v: flag(v, "heading_fix"), "summary_mode": summary_mode, "summary_max_chars": summary_chars,
+}
+
+
+def overrides(given: dict) -> dict:
+    """The request's parameters, read; those that are None are left out, an unknown or bad one is an error."""
+    return {one_of(k, tuple(DECODE), "parameter"): DECODE[k](v) for k, v in given.items() if v is not None}

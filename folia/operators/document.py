@@ -135,3 +135,52 @@ def with_lines(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     parts = F.transform(F.split("content", "\n"), lambda x, k: F.coalesce(F.try_element_at("new", k), x))
     both = chunks.join(listed, ["doc_id", "chunk"], "left")
     return both.select("doc_id", "chunk", F.when(F.col("new").isNull(), F.col("content")).otherwise(F.array_join(parts, "\n")).alias("content"))
+
+
+def figure_defects(figures: DataFrame) -> DataFrame:
+    """doc_id, figure_id, n: ids that are missing or that several figures of a document have; a sound document has none."""
+    held = figures.groupBy("doc_id", F.when(F.col("figure_id") != "", F.col("figure_id")).alias("figure_id")).agg(F.count("*").alias("n"))
+    return held.where("figure_id is null or n > 1")
+
+
+def validated(figures: DataFrame) -> DataFrame:
+    """The figures, or an error that names the first defect: rendering relies on unique ids."""
+    if bad := figure_defects(figures).orderBy("doc_id", "figure_id").first():
+        raise ValueError(f"document {bad.doc_id}: {f'figure id {bad.figure_id!r} stands {bad.n} times' if bad.figure_id else 'a figure has no id'}")
+    return figures
+
+
+#: What of a processing log a response shows.
+LOG_KEYS = "modality gates failed_pages decode table_stitch doc_summary figure_check heading_fix latex_wrap pages text_pagination".split()
+
+
+def response(documents: DataFrame, skip_structured: bool = False) -> DataFrame:
+    """doc_id, json of each document's response. documents: doc_id, markdown, total_pages, total_figures, total_time_seconds; any of
+    LOG_KEYS; structured (JSON of metadata, summary, semantic_chunks, tables, images; null in raw mode, whose response
+    leaves these keys out, so that "no model ran" is not "nothing found"). Other columns are never shown."""
+    has = set(documents.columns)
+    totals = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total_pages", "total_figures", "total_time_seconds")]
+    log = F.struct(*totals, *[F.col(c) for c in LOG_KEYS if c in has])
+    part = lambda k, none: F.coalesce(F.get_json_object("structured", f"$.{k}"), F.lit(none))
+    text = F.when(F.get_json_object("structured", "$.summary").isNull(), "null").otherwise(F.to_json(F.array(F.get_json_object("structured", "$.summary"))))
+    keys = {"metadata": part("metadata", "{}"), "summary": F.regexp_replace(text, r"^\[|\]$", ""), "semantic_chunks": part("semantic_chunks", "[]"), "tables": part("tables", "[]")}
+    told = F.concat(*[x for k, v in keys.items() for x in (F.lit(f',"{k}":'), v)])
+    shown = F.lit("") if skip_structured else F.when(F.col("structured").isNull(), "").otherwise(told)
+    head = F.concat(F.lit('{"markdown":'), F.regexp_replace(F.to_json(F.array("markdown")), r"^\[|\]$", ""), F.lit(',"images":'), part("images", "[]"))
+    return documents.select("doc_id", F.concat(head, F.lit(',"processing_log":'), F.to_json(log), shown, F.lit("}")).alias("json"))
+
+
+def raw_documents(files: DataFrame) -> DataFrame:
+    """What response() takes, for files whose text is the document as it is (sources.mail.read_files()): one page, no model."""
+    return files.where("text is not null").select(
+        "doc_id", F.col("text").alias("markdown"), F.lit(1).alias("total_pages"), F.lit(0).alias("total_figures"), F.lit(0.0).alias("total_time_seconds"),
+        F.lit(0).alias("failed_pages"), F.lit("deterministic").alias("modality"), F.lit(None).cast("string").alias("structured"),
+    )
+
+
+def media_captions(pictures: DataFrame, pages: DataFrame) -> DataFrame:
+    """pictures: doc_id, figure_id; pages: figure_id and data (the extraction of the picture as a page). A picture's caption is that
+    of its first figure that has one, else its summary."""
+    own = F.get(F.filter("data.figures", lambda f: f["caption"] != ""), F.lit(0))["caption"]
+    told = pages.select("figure_id", F.coalesce(own, F.col("data.summary")).alias("caption"))
+    return pictures.join(told, "figure_id", "left").select("doc_id", "figure_id", F.coalesce("caption", F.lit("")).alias("caption"))

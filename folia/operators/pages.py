@@ -26,23 +26,27 @@ def packed_lines(lines: Column, limit: int) -> Column:
     return F.filter(F.aggregate(lines, start, step, done), lambda p: ~blank(p))
 
 
-def paginate_lines(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, page, n_chars, text of each page of a text without blank lines."""
+def line_pages(docs: DataFrame, limit: int) -> DataFrame:
+    """doc_id, pages (texts) of each text without blank lines: the fold, before its pages become rows."""
     text = stripped(F.col("text"))
     one = F.when(F.length(text) <= limit, F.array(text)).otherwise(packed_lines(F.split(text, "\n"), limit))
-    pages = docs.where(~blank(F.col("text"))).select("doc_id", F.posexplode(one).alias("k", "text"))
-    return pages.select("doc_id", (F.col("k") + 1).alias("page"), F.length("text").alias("n_chars"), "text")
+    return docs.where(~blank(F.col("text"))).select("doc_id", one.alias("pages"))
 
 
-def page_range(pages: DataFrame, first: int | None, last: int | None) -> DataFrame:
-    """Pages first..last of each document, with their own numbers, and total_pages, which counts all of them.
+def paginate_lines(docs: DataFrame, limit: int) -> DataFrame:
+    """doc_id, page, n_chars, text of each page of a text without blank lines."""
+    return page_range(line_pages(docs, limit), None, None).drop("total_pages")
 
-    The total comes from a slim aggregate before the filter, so the filter still reaches the pages' scan."""
-    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
+
+def page_range(listed: DataFrame, first: int | None, last: int | None) -> DataFrame:
+    """Pages first..last of each document of line_pages(), with their own numbers, and total_pages, which counts all of
+    them: an array knows its size, so nothing is counted or shuffled."""
     low = max(1, first or 1)
-    kept = pages.where(F.col("page") >= low)
-    kept = kept.where(F.col("page") <= last) if last is not None else kept
-    return kept.join(totals, "doc_id")
+    total = F.size("pages")
+    high = total if last is None else F.least(total, F.lit(last))
+    kept = F.slice("pages", low, F.greatest(high - (low - 1), F.lit(0)))
+    rows = listed.withColumn("total_pages", total.cast("bigint")).select("doc_id", "total_pages", F.posexplode(kept).alias("k", "text"))
+    return rows.select("doc_id", (F.col("k") + low).alias("page"), F.length("text").alias("n_chars"), "text", "total_pages")
 
 
 def without_repeated_lines(lines: Column) -> Column:
@@ -73,8 +77,21 @@ def heading_lines(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda a: a["out"])
 
 
-def packed(items: Column, most: int, chars: int, joiner: int = 1) -> Column:
-    """Greedy groups in order: at most `most` items and `chars` characters, a joiner between items; one item at least."""
+def oversize(pages: DataFrame, chars: int, tokens: int | None = None, chars_per_token: float = 3.5) -> DataFrame:
+    """pages (with the column text) with status and error: "oversize" where a page has more characters or, counted as bytes,
+    more tokens than a page may have. Such pages are rejected whole, never cut; where("status is null") goes on."""
+    n, size = F.length("text"), F.octet_length("text")
+    long = F.concat(n.cast("string"), F.lit(" chars (~"), F.floor(n / chars_per_token).cast("string"), F.lit(f" tok) exceeds the {chars}-char text-page bound"))
+    why = F.when(n > chars, long)
+    if tokens:
+        why = why.when(size > tokens, F.concat(size.cast("string"), F.lit(f" tokens exceeds the {tokens}-token text-page bound")))
+    return pages.withColumn("error", why).withColumn("status", F.when(F.col("error").isNotNull(), "oversize"))
+
+
+def packed(items: Column, most: int, chars: int, joiner: int = 1, cut: bool = False) -> Column:
+    """Greedy groups in order: at most `most` items and `chars` characters, a joiner between items; one item at least. cut: an
+    item of more characters is cut to them."""
+    items = F.transform(items, lambda x: F.left(x, F.lit(chars))) if cut else items
     none = F.array().cast("array<string>")
     start = F.struct(F.array().cast("array<array<string>>").alias("out"), none.alias("cur"), F.lit(0).alias("used"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.columns import stripped
+from folia.operators.pages import packed
 
 #: Fixed value: words that say nothing new.
 STOPWORDS = (
@@ -105,3 +106,69 @@ def without_similar_neighbours(chunks: Column, threshold: float = 0.6) -> Column
         )
 
     return F.aggregate(chunks, start, step, lambda a: a["out"])
+
+
+#: Characters of a block of summaries, and levels after which a tree of them counts as endless.
+BLOCK, LEVELS = 11_000, 7
+
+
+def blocks(items: DataFrame, chars: int = BLOCK) -> DataFrame:
+    """doc_id, block, n_blocks, n_items, text: a document's items (doc_id, nth, text) packed in order into blocks for one call each."""
+    listed = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("items"))
+    groups = packed(F.transform("items", lambda x: x["text"]), 1 << 30, chars, cut=True)
+    made = listed.select("doc_id", F.size("items").alias("n_items"), F.size(groups).alias("n_blocks"), F.posexplode(groups).alias("block", "lines"))
+    return made.select("doc_id", "block", "n_blocks", "n_items", F.array_join("lines", "\n").alias("text"))
+
+
+def tree_summaries(items: DataFrame, answers: DataFrame, chars: int = BLOCK, budget: int = 4000, levels: int = LEVELS) -> DataFrame:
+    """doc_id, summary, calls, levels, error of each document: its items are packed into blocks, each block's answer (answers: doc_id, level,
+    block, text; null or missing: the call failed) is an item of the next level, until one block is left, whose answer,
+    cut to the budget at a sentence's end, is the summary.
+
+    A level is one aggregate and one join; a block whose call failed is dropped, a level without any answer, or a
+    failed last call, ends in an error. The loop goes on while a document has several blocks, which their sizes say."""
+    now = items.select("doc_id", F.col("nth").cast("int").alias("nth"), stripped("text").alias("text")).where("text != ''").withColumn("calls", F.lit(0))
+    done = None
+    for level in range(levels):
+        told = answers.where(F.col("level") == level).select("doc_id", "block", F.col("text").alias("answer"))
+        before = now.groupBy("doc_id").agg(F.max("calls").alias("before"))
+        got = blocks(now, chars).join(told, ["doc_id", "block"], "left").join(before, "doc_id").withColumn("calls", (F.col("before") + F.col("n_blocks")).cast("int"))
+        ends = got.groupBy("doc_id").agg(F.max("n_blocks").alias("n"), F.max("calls").alias("calls"), F.count("answer").alias("ok"), F.max("answer").alias("answer"))
+        cut = within_budget(F.col("answer"), budget)
+        why = F.when((F.col("n") == 1) & (F.col("ok") == 0), "the last call failed").when(F.col("ok") == 0, f"every call of level {level} failed")
+        last = level == levels - 1
+        why = why.when(F.col("n") > 1, "the summaries do not come down to one") if last else why
+        why = why.when(cut.isNull(), "no sentence fits the budget")
+        over = ends if last else ends.where("n = 1 or ok = 0")
+        over = over.select("doc_id", why.alias("error"), F.when(F.col("n") == 1, cut).alias("summary"), "calls", F.lit(level + 1).alias("levels"))
+        done = over if done is None else done.unionByName(over)
+        now = got.where("n_blocks > 1 and answer is not null").select("doc_id", F.col("block").alias("nth"), F.col("answer").alias("text"), "calls")
+        if last or now.isEmpty():
+            break
+    return done.select("doc_id", "summary", "calls", "levels", "error")
+
+
+def summaries_by_mode(pages: DataFrame, mode: str, answers: DataFrame | None = None, budget: int = 4000, contract: str = "v0.5") -> DataFrame:
+    """doc_id, summary, mode_used of each document of pages (see document_summaries(); pages that were extracted).
+
+    A document of one page keeps that page's summary. off: none. deterministic: composed. contract_sos: by a tree of model
+    calls over the answers, and composed where that fails; under v0.5 the modes with a prompt of their own are that as well."""
+    told = pages.select("doc_id", "page", stripped(F.coalesce("summary", F.lit(""))).alias("summary"), "types")
+    own = told.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("summary").alias("one"))
+    mode = "contract_sos" if contract == "v0.5" and mode in ("model", "summary_of_summaries") else mode
+    none = F.lit(None).cast("string")
+    if mode == "off":
+        rest = own.select("doc_id", none.alias("summary"), F.lit("off").alias("used"))
+    elif mode in ("deterministic", "contract_sos"):
+        rest = document_summaries(told, budget).select("doc_id", "summary", F.when(F.col("summary").isNotNull(), "deterministic").otherwise("none").alias("used"))
+        if mode == "contract_sos":
+            lines = told.select("doc_id", "page", F.posexplode(F.split("summary", "\n")).alias("k", "text"))
+            items = lines.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "k")).alias("nth"), "text")
+            tree = tree_summaries(items, answers, budget=budget).select("doc_id", F.col("summary").alias("tree"))
+            both = rest.join(tree, "doc_id", "left")
+            fell = F.when(F.col("summary").isNotNull(), "deterministic_fallback").otherwise("none")
+            rest = both.select("doc_id", F.coalesce("tree", "summary").alias("summary"), F.when(F.col("tree").isNotNull(), "contract_sos").otherwise(fell).alias("used"))
+    else:
+        raise ValueError(f"mode {mode} needs a model call for each document")
+    one = F.col("n") <= 1
+    return own.join(rest, "doc_id", "left").select("doc_id", F.when(one, F.col("one")).otherwise(F.col("summary")).alias("summary"), F.when(one, "single_page").otherwise(F.col("used")).alias("mode_used"))

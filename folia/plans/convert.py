@@ -9,19 +9,32 @@ from folia.functions import arrow
 from folia.operators import assembly, document, quality, summary
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The frame worked out once: in the shared folder that spark.checkpoint.dir names, where the loss of an executor does not
+    repeat it; without such a folder in the executors' memory and disks."""
+    named = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        return df.persist()
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def page_results(completions: DataFrame) -> DataFrame:
-    """completions: doc_id, page, attempt, rung, text, finish_reason -> doc_id, page, status, model_calls, data."""
+    """completions: doc_id, page, attempt, rung, text, finish_reason -> doc_id, page, status, rescued_by, model_calls, data.
+
+    What the gate has parsed and mended goes on as JSON, which the JVM reads by its schema: a completion is parsed once."""
     judged = completions.withColumn("g", arrow.gate("text", "finish_reason"))
-    attempts = judged.select("doc_id", "page", "attempt", "rung", F.col("g.verdict").alias("verdict"), "text", F.col("g.chars").alias("chars"))
+    attempts = judged.select(
+        "doc_id", "page", "attempt", "rung", F.col("g.verdict").alias("verdict"), F.col("finish_reason").alias("finish"), F.coalesce("g.page", "text").alias("text"), F.col("g.chars").alias("chars"),
+    )
     best = quality.first_ok(attempts)
-    # the repaired text parses by schema in the JVM; only here, once a page
-    value = arrow.lenient_json("text")
-    return best.withColumn("j", value).select("doc_id", "page", "status", "model_calls", document.parsed(F.col("j.value")).alias("data"))
+    return best.select("doc_id", "page", "status", "rescued_by", "model_calls", document.parsed(F.col("text")).alias("data"))
 
 
 def documents(pages: DataFrame, budget: int = 4000) -> DataFrame:
     """doc_id, title, doc_type, summary, n_pages, markdown of each document of page results."""
-    pages = pages.persist()  # five aggregates read it; the gate and its Python run once
+    pages = once(pages)  # five aggregates read it; the gate and its Python run once
     chunks = document.units(pages, "semantic_chunks")
     figures = document.units(pages, "figures").withColumn("index", F.col("nth")).withColumn("crop_path", F.lit(None).cast("string"))
     units = document.markdown_units(chunks, document.units(pages, "tables"), figures)

@@ -47,23 +47,97 @@ def running_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.running_most(page_results(spark, sf_dir), "value").select("doc_id", "seq", "most")
 
 
-@query(f"""
-WITH a AS (SELECT doc_id, seq // 3 AS page, seq % 3 + 1 AS attempt, status, CAST(trunc(value) AS BIGINT) AS chars FROM {PAGE_RESULTS_SQL}),
-v AS (SELECT *, CASE status WHEN 'ok' THEN 'ok' WHEN 'ok_coerced' THEN 'ok' WHEN 'degenerate' THEN 'degenerate' WHEN 'failed' THEN 'length' ELSE 'parse' END AS verdict FROM a),
-g AS (SELECT doc_id, page, count(*) AS model_calls, arg_min(verdict, attempt) AS fv, arg_min(chars * 100, attempt) AS fn,
-  arg_min(attempt, attempt) FILTER (WHERE verdict = 'ok') AS ba, arg_min(chars, attempt) FILTER (WHERE verdict = 'ok') AS bc FROM v GROUP BY ALL)
-SELECT doc_id, page, model_calls, CASE WHEN ba IS NULL THEN CASE fv WHEN 'length' THEN 'overlong_failed' WHEN 'degenerate' THEN 'degenerate' ELSE 'failed' END
-  WHEN ba > 1 AND bc < 300 AND bc < 0.02 * fn THEN 'coerced_empty' WHEN ba > 1 THEN 'ok_coerced' ELSE 'ok' END AS status FROM g
-""")
-def attempt_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+ATTEMPTS_SQL = f"""(SELECT doc_id, seq // 3 AS page, seq % 3 + 1 AS attempt, ['first', CASE WHEN doc_id % 2 = 0 THEN 'reroll' ELSE 'first' END, 'retry_enforced'][seq % 3 + 1] AS rung,
+  CASE status WHEN 'ok' THEN 'ok' WHEN 'ok_coerced' THEN 'ok' WHEN 'degenerate' THEN 'degenerate' WHEN 'failed' THEN 'length' ELSE 'parse' END AS verdict,
+  CASE WHEN status = 'degenerate' THEN 'repetition_abort' WHEN status = 'transport_error' THEN 'wall_clock_abort' WHEN status = 'failed' THEN 'length' ELSE 'stop' END AS finish,
+  CAST(trunc(value) AS BIGINT) AS chars FROM {PAGE_RESULTS_SQL})"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three events of a user as a page's attempts: a first one, the same again, and a retry."""
     r = page_results(spark, sf_dir)
-    verdict = F.when(F.col("status").isin("ok", "ok_coerced"), "ok").when(F.col("status") == "degenerate", "degenerate").when(F.col("status") == "failed", "length").otherwise("parse")
+    s, at = F.col("status"), F.col("seq") % 3
+    verdict = F.when(s.isin("ok", "ok_coerced"), "ok").when(s == "degenerate", "degenerate").when(s == "failed", "length").otherwise("parse")
+    finish = F.when(s == "degenerate", "repetition_abort").when(s == "transport_error", "wall_clock_abort").when(s == "failed", "length").otherwise("stop")
+    rung = F.when(at == 0, "first").when(at == 2, "retry_enforced").when(F.col("doc_id") % 2 == 0, "reroll").otherwise("first")
     chars = F.col("value").cast("bigint")
-    a = r.select(
-        "doc_id", F.floor(F.col("seq") / 3).alias("page"), (F.col("seq") % 3 + 1).alias("attempt"), F.lit("x").alias("rung"), verdict.alias("verdict"),
+    return r.select(
+        "doc_id", F.floor(F.col("seq") / 3).alias("page"), (at + 1).alias("attempt"), rung.alias("rung"), verdict.alias("verdict"), finish.alias("finish"),
         F.repeat(F.lit("c"), (chars * 100).cast("int")).alias("text"), chars.alias("chars"),
     )
-    return quality.first_ok(a).select("doc_id", "page", "model_calls", "status")
+
+
+@query(f"""
+WITH a AS {ATTEMPTS_SQL}, same AS (SELECT * FROM a WHERE rung <> 'retry_enforced'), again AS (SELECT * FROM a WHERE rung = 'retry_enforced'),
+g AS (SELECT doc_id, page, count(*) AS model_calls FROM a GROUP BY ALL),
+good AS (SELECT doc_id, page, min(attempt) AS n, arg_min(rung, attempt) AS rung FROM same WHERE verdict = 'ok' GROUP BY ALL),
+ends AS (SELECT doc_id, page, arg_min(finish, attempt) AS first_finish, arg_max(verdict, attempt) AS v, arg_max(finish, attempt) AS finish, arg_max(chars * 100, attempt) AS n FROM same GROUP BY ALL),
+j AS (SELECT g.*, good.n AS good, good.rung AS good_rung, first_finish, ends.v, ends.finish AS same_finish, ends.n AS same_n, again.verdict AS rv, again.finish AS rf, again.chars AS rc
+  FROM g LEFT JOIN good USING (doc_id, page) LEFT JOIN ends USING (doc_id, page) LEFT JOIN again USING (doc_id, page)),
+s AS (SELECT *, CASE WHEN good IS NOT NULL THEN 'ok' WHEN first_finish = 'wall_clock_abort' THEN 'wall_clock_abort' WHEN rv = 'ok' AND rc < 300 AND rc < 0.02 * same_n THEN 'coerced_empty'
+  WHEN rv = 'ok' THEN 'ok_coerced' WHEN v = 'length' THEN 'overlong_failed' WHEN v = 'degenerate' THEN 'degenerate' ELSE 'failed' END AS status FROM j)
+SELECT doc_id, page, status, model_calls, CASE WHEN status = 'ok' AND good_rung = 'reroll' THEN 'reroll' WHEN status = 'ok_coerced' THEN 'retry_enforced' ELSE 'none' END AS rescued_by,
+  CAST(CASE status WHEN 'ok' THEN good WHEN 'wall_clock_abort' THEN 1 ELSE 2 END AS INT) AS attempts, status IN ('ok_coerced', 'coerced_empty') AS schema_coerced,
+  status NOT IN ('ok', 'wall_clock_abort') AND (coalesce(v = 'degenerate', false) OR coalesce(rv = 'degenerate', false)) AS degenerate,
+  status NOT IN ('ok', 'wall_clock_abort') AND (coalesce(same_finish = 'repetition_abort', false) OR coalesce(rf = 'repetition_abort', false)) AS repetition_abort FROM s
+""")
+def attempt_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.first_ok(_attempts(spark, sf_dir)).drop("text")
+
+
+@query(f"""
+WITH a AS {ATTEMPTS_SQL}, p AS (SELECT doc_id, page, arg_min(verdict, attempt) AS v, count(*) AS n FROM a GROUP BY ALL)
+SELECT doc_id, page, CASE WHEN v = 'ok' THEN 'ok' WHEN page % 3 = 0 THEN 'fallback_ok' ELSE 'failed' END AS status,
+  CASE WHEN v <> 'ok' AND page % 3 = 0 THEN 'fallback' ELSE 'none' END AS rescued_by, n + CASE WHEN v <> 'ok' AND page % 3 = 0 THEN 1 ELSE 0 END AS model_calls FROM p
+""")
+def fallback_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _attempts(spark, sf_dir).groupBy("doc_id", "page").agg(F.min_by("verdict", "attempt").alias("v"), F.count("*").alias("model_calls"))
+    results = a.select("doc_id", "page", F.when(F.col("v") == "ok", "ok").otherwise("failed").alias("status"), F.lit("none").alias("rescued_by"), "model_calls", F.lit(None).cast("string").alias("text"))
+    others = a.select("doc_id", "page", F.when(F.col("page") % 3 == 0, "{}").alias("text"))
+    return quality.with_fallback(results, others).drop("text")
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, seq % 5 AS page, ts, seq, value FROM {PAGE_RESULTS_SQL}), f AS (SELECT *, min(ts) OVER (PARTITION BY doc_id, page) AS began FROM p),
+l AS (SELECT *, epoch_us(ts) - epoch_us(began) > 86400000000 AS late FROM f)
+SELECT doc_id, page, min(ts) FILTER (WHERE late) AS stopped, CAST(sum(CASE WHEN late THEN 0 ELSE CAST(trunc(value) AS INT) % 50 END) AS BIGINT) AS chars FROM l GROUP BY ALL HAVING count_if(late) > 0
+""")
+def wall_clock_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = page_results(spark, sf_dir).select("doc_id", (F.col("seq") % 5).alias("page"), "ts", F.repeat(F.lit("x"), F.col("value").cast("int") % 50).alias("piece"))
+    return quality.wall_clock(p, 86_400, ("doc_id", "page"))
+
+
+@query("""
+WITH d AS (SELECT source, doc_id AS pos, length(text) AS chars, length(text) / 100.0::DOUBLE AS seconds FROM documents),
+s AS (SELECT *, count(*) OVER w AS docs, coalesce(max(seconds) OVER w, 0) AS t, coalesce(max(chars) OVER w, 0) AS c FROM d
+  WINDOW w AS (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, least(docs, 10) / 10.0::DOUBLE AS part, t * 1.5::DOUBLE AS lt, floor(c * 1.5::DOUBLE) AS lc FROM s),
+x AS (SELECT *, CASE WHEN t <= 0 THEN 600 ELSE greatest(30, CASE WHEN part >= 1 THEN lt ELSE 600.0::DOUBLE + (lt - 600) * part END) END AS timeout,
+  CAST(CASE WHEN c <= 0 THEN 10000 ELSE greatest(5000, floor(CASE WHEN part >= 1 THEN lc ELSE 10000.0::DOUBLE + (lc - 10000) * part END)) END AS INT) AS char_limit FROM l)
+SELECT source, pos, CAST(timeout AS DOUBLE) AS timeout, char_limit, chars > char_limit AS "long", t > 0 AND seconds > t * 1.5::DOUBLE AS slow FROM x
+""")
+def page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("order"), n.alias("chars"), (n / 100).alias("seconds"))
+    return quality.page_limits(d, ("source",)).select("source", F.col("order").alias("pos"), "timeout", "char_limit", "long", "slow")
+
+
+@query(f"""SELECT count(*) AS streams, count_if(u) AS with_usage, count_if(NOT u) AS without_usage, count_if(g = 'token_cap') AS token_cuts, count_if(g = 'length_cap') AS char_cuts,
+  CASE WHEN count_if(u) > 0 AND count_if(NOT u) > 0 THEN 'mixed' WHEN count_if(u) > 0 THEN 'tokens' WHEN count_if(NOT u) > 0 THEN 'chars' ELSE 'unknown' END AS observed
+FROM (SELECT attempts > 1 AS u, CASE status WHEN 'degenerate' THEN 'token_cap' WHEN 'failed' THEN 'length_cap' END AS g FROM {PAGE_RESULTS_SQL})""")
+def runaway_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guard = F.when(F.col("status") == "degenerate", "token_cap").when(F.col("status") == "failed", "length_cap")
+    return quality.stream_counters(page_results(spark, sf_dir).select((F.col("attempts") > 1).alias("usage"), guard.alias("guard")))
+
+
+@query(f"""SELECT doc_id, seq, CAST(5 + floor(80.0::DOUBLE * done / total) AS INT) AS percent FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY ts, seq) AS done,
+  count(*) OVER (PARTITION BY doc_id) AS total FROM {PAGE_RESULTS_SQL})""")
+def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    line = Window.partitionBy("doc_id")
+    r = page_results(spark, sf_dir).withColumn("done", F.row_number().over(line.orderBy("ts", "seq"))).withColumn("total", F.count("*").over(line))
+    return r.select("doc_id", "seq", quality.progress(F.col("done"), F.col("total")).alias("percent"))
 
 
 @query(f"""WITH {TOKENS_SQL}, f AS (SELECT doc_id, token, CASE WHEN length(token) % 2 = 0 THEN 'title' ELSE 'content' END AS w, length(token) AS seq FROM out_),
@@ -186,7 +260,7 @@ def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t.select("doc_id", "page", body.alias("text")).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
     broken = (F.col("attempt") == 1) & (F.col("page") % 2 == 0)
     c = c.select(
-        "doc_id", "page", "attempt", F.when(F.col("attempt") == 1, "none").otherwise("retry_enforced").alias("rung"),
+        "doc_id", "page", "attempt", F.when(F.col("attempt") == 1, "first").otherwise("retry_enforced").alias("rung"),
         F.when(broken, F.expr("left(text, 40)")).otherwise(F.col("text")).alias("text"), F.lit("stop").alias("finish_reason"),
     )
     return convert.documents(convert.page_results(c), 1000)

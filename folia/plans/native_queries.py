@@ -51,7 +51,7 @@ def paginate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     " count(*) OVER (PARTITION BY doc_id) AS total_pages FROM pages_of) WHERE page BETWEEN 2 AND 4"
 )
 def page_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pages.paginate_lines(table(spark, sf_dir, "documents"), 1000)
+    made = pages.line_pages(table(spark, sf_dir, "documents"), 1000)
     return pages.page_range(made, 2, 4).select("doc_id", "page", "n_chars", "total_pages")
 
 
@@ -198,17 +198,33 @@ def table_stitch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUND = "CASE WHEN {n} = 0 THEN NULL ELSE round_even(CAST({k} AS DOUBLE) / {n}, 4) END"
 
 
+FLAGGED_SQL = f"""(SELECT doc_id, CASE WHEN attempts = 3 AND status = 'ok_coerced' THEN 'coerced_empty' WHEN attempts = 3 AND status = 'failed' THEN 'overlong_failed'
+  WHEN attempts = 2 AND status = 'failed' THEN 'empty_completion' WHEN attempts = 3 AND status = 'transport_error' THEN 'wall_clock_abort' WHEN attempts = 2 AND status = 'transport_error' THEN 'oversize'
+  WHEN attempts = 3 AND status = 'degenerate' THEN 'fallback_ok' ELSE status END AS status, attempts > 1 AND status = 'degenerate' AS repetition_abort, status = 'degenerate' AS degenerate,
+  status = 'ok_coerced' AS schema_coerced, attempts = 2 AND status = 'ok' AS json_close, CASE WHEN seq % 4 > 0 THEN 'B' || (seq % 4) END AS bucket FROM {PAGE_RESULTS_SQL})"""
+
+
 @query(f"""
-WITH r AS {PAGE_RESULTS_SQL}, c AS (SELECT doc_id, count(*) AS pages, count_if(status = 'ok') AS first_pass_ok,
-  count_if(status IN ('ok_coerced', 'coerced_empty')) AS schema_coerced, count_if(status = 'degenerate') AS degenerate,
-  count_if(status = 'oversize') AS oversize_filtered, count_if(status = 'empty_completion') AS empty_completions,
-  count_if(status IN ('ok_coerced', 'coerced_empty', 'failed', 'degenerate', 'overlong_failed', 'empty_completion')) AS retried FROM r GROUP BY doc_id)
-SELECT doc_id, pages, first_pass_ok, schema_coerced, degenerate, oversize_filtered, empty_completions,
-  {ROUND.format(k='(pages - first_pass_ok)', n='pages')} AS first_pass_fail_rate, {ROUND.format(k='degenerate', n='pages')} AS degeneration_rate,
-  {ROUND.format(k='schema_coerced', n='retried')} AS coerce_success_rate FROM c
+WITH r AS {FLAGGED_SQL}, c AS (SELECT doc_id, count(*) AS pages, count_if(status = 'ok') AS first_pass_ok, count_if(schema_coerced) AS schema_coerced, count_if(degenerate) AS degenerate,
+  count_if(repetition_abort) AS repetition_aborted, count_if(status = 'oversize') AS oversize_filtered, count_if(status = 'wall_clock_abort') AS wall_clock_aborts, count_if(status = 'coerced_empty') AS coerced_empty,
+  count_if(status = 'fallback_ok') AS fallback_pages, count_if(status = 'empty_completion') AS empty_completions, count_if(json_close) AS json_close_stops, count_if(status = 'overlong_failed') AS overlong_failed,
+  count_if(schema_coerced OR status IN ('failed', 'degenerate', 'overlong_failed', 'empty_completion')) AS retried FROM r GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS buckets FROM (SELECT doc_id, bucket, count(*) AS n FROM r WHERE bucket IS NOT NULL GROUP BY ALL) GROUP BY doc_id)
+SELECT c.* EXCLUDE (retried), coalesce(buckets, '') AS buckets, {ROUND.format(k='(pages - first_pass_ok)', n='pages')} AS first_pass_fail_rate, {ROUND.format(k='degenerate', n='pages')} AS degeneration_rate,
+  {ROUND.format(k='schema_coerced', n='retried')} AS coerce_success_rate FROM c LEFT JOIN b ON c.doc_id = b.doc_id
 """)
 def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.gate_metrics(page_results(spark, sf_dir))
+    r, s, n = page_results(spark, sf_dir), F.col("status"), F.col("attempts")
+    status = (
+        F.when((n == 3) & (s == "ok_coerced"), "coerced_empty").when((n == 3) & (s == "failed"), "overlong_failed").when((n == 2) & (s == "failed"), "empty_completion")
+        .when((n == 3) & (s == "transport_error"), "wall_clock_abort").when((n == 2) & (s == "transport_error"), "oversize").when((n == 3) & (s == "degenerate"), "fallback_ok").otherwise(s)
+    )
+    flagged = r.select(
+        "doc_id", status.alias("status"), ((n > 1) & (s == "degenerate")).alias("repetition_abort"), (s == "degenerate").alias("degenerate"), (s == "ok_coerced").alias("schema_coerced"),
+        ((n == 2) & (s == "ok")).alias("json_close"), F.when(F.col("seq") % 4 > 0, F.concat(F.lit("B"), (F.col("seq") % 4).cast("string"))).alias("bucket"),
+    )
+    entries = F.transform(F.map_entries("buckets"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return quality.gate_metrics(flagged).withColumn("buckets", F.array_join(F.array_sort(entries), ","))
 
 
 @query(f"SELECT doc_id, attempts, count(*) AS n FROM {PAGE_RESULTS_SQL} WHERE attempts IS NOT NULL GROUP BY ALL")

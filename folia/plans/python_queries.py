@@ -92,7 +92,7 @@ def completion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     finish = F.when((F.col("attempt") == 1) & (F.col("doc_id") % 3 == 0), "length").otherwise("stop")
     judged = d.select("doc_id", "attempt", arrow.gate("text", finish).alias("g"))
     attempts = judged.select(
-        "doc_id", F.lit(1).alias("page"), "attempt", F.when(F.col("attempt") == 1, "first").otherwise("retry").alias("rung"), F.col("g.verdict").alias("verdict"),
+        "doc_id", F.lit(1).alias("page"), "attempt", F.when(F.col("attempt") == 1, "first").otherwise("retry_unenforced").alias("rung"), F.col("g.verdict").alias("verdict"),
         F.col("g.chars").cast("string").alias("text"),
     )
     return quality.first_ok(attempts)

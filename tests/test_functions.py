@@ -146,3 +146,90 @@ def test_closed_json():
     with pytest.raises(ValueError):
         completions.closed("nothing")
     assert completions.ends_in_loop("abc" * 300) and not completions.ends_in_loop("abc" * 100)
+
+
+def test_section_types_in_the_gate():
+    chunk = lambda tag: {"content": "words", "title": None, "keywords": [], "section_type": tag}
+    p = page(semantic_chunks=[chunk("Footnotes"), chunk("news-article"), chunk(None), chunk("body")])
+    verdict, why, got = completions.gated(json.dumps(p), "stop")
+    assert (verdict, why) == ("ok", None) and [c["section_type"] for c in got["semantic_chunks"]] == ["appendix", "news_article", "other", "body"]
+    assert completions.gate(json.dumps(page(semantic_chunks=[chunk(5)])), "stop")[0] == "schema"
+    assert completions.canonical("My Own", {"my_own": "legal_notice"}) == "legal_notice" and completions.canonical("导读", {"导读": "index"}) == "index"
+    flat = page(figures=[{"bbox": [1, 2, 3, 4], "caption": None, "description": None}])
+    assert completions.gate(json.dumps(flat), "stop", quads=False)[0] == "ok"
+
+
+def test_fallback_page():
+    foreign = {"metadata": "x", "summary": 5, "semantic_chunks": [{"content": "a", "chunk_id": 3, "section_type": "Lead Article", "title": 1}, {"content": 5}, 7],
+               "figures": [{"bbox": [1, 2], "caption": 4}, {"bbox": [1, 2, 3, 4]}], "tables": [{"html": "<table>", "bbox": None}, {"html": 1}]}
+    got = completions.five_keys(foreign)
+    assert got["semantic_chunks"] == [{"chunk_id": "3", "title": None, "content": "a", "keywords": [], "section_type": "news_article"}] and got["summary"] is None
+    assert got["metadata"] == {"title": None, "authors": [], "organization": None, "year": None, "doc_type": None} and len(got["tables"]) == 1
+    assert [f["bbox"] for f in completions.fallback_page(json.dumps(foreign), "stop")["figures"]] == [None, [[1, 2], [3, 2], [3, 4], [1, 4]]]
+    assert completions.five_keys({"metadata": {"authors": "A"}})["metadata"]["authors"] == ["A"]
+    assert [completions.fallback_page(t, f) for t, f in ((json.dumps(foreign), "length"), ("", "stop"), ("{oops", "stop"), ("[1]", "stop"))] == [None] * 4
+
+
+def test_repeated_units_weigh_their_characters():
+    long, short = "A sentence that says the very same thing every time it comes.", "Quite another short one."
+    loop = " ".join([long] * 30)
+    assert completions.repeated(loop)["score"] == 27 * len(long)
+    fresh = " ".join(f"{'abcdefghij'[k]}{'klmnopqrst'[k]} is some new sentence." for k in range(3))
+    assert completions.repeated(loop + " " + fresh)["score"] == 27 * len(long)  # three of 33 units, but few of its characters
+    assert completions.repeated(" ".join(f"{short} Number {'abcdefghij'[k % 10] * (k + 9)} is new here." for k in range(9)))["score"] == 0
+
+
+def test_wrap_record():
+    from folia.functions import latex
+
+    record = {"summary": r"\alpha + \beta", "chunks": [{"content": r"\gamma = 1", "n": 1}, {"content": None}], "other": r"\alpha"}
+    got, changed = latex.wrap_record(record, ("summary", "chunks.content", "missing.field"))
+    assert got == {"summary": r"$$\alpha + \beta$$", "chunks": [{"content": r"$$\gamma = 1$$", "n": 1}, {"content": None}], "other": r"\alpha"}
+    assert changed == {"summary": 1, "chunks.content": 1} and latex.wrap_record(got, ("summary",))[1] == {}
+
+
+def test_parameters():
+    from folia.functions import params, prompts
+
+    assert params.contract("V0.4.1") == "v0.4" and params.contract("mine", {"mine": "v0.5"}) == "v0.5" and params.summary_chars("200") == 200
+    assert params.overrides({"temperature": "0.4", "retry_enforce": "off", "contract": None}) == {"temperature": 0.4, "retry_enforce": False}
+    for f, bad in ((params.contract, "v0.6"), (params.contract, None), (params.summary_mode, "loud"), (params.summary_chars, "199"), (params.summary_chars, "x"), (params.overrides, {"unknown": 1})):
+        with pytest.raises(ValueError):
+            f(bad)
+    assert prompts.stage_parameters("Qwen/Qwen3.6-397B", "structured")["extra_params"]["reasoning"] == {"enabled": False}
+    assert prompts.stage_parameters("qwen3-8b", "structured")["extra_params"] == {"top_p": 0.8, "top_k": 20, "presence_penalty": 1.5}
+    assert prompts.stage_parameters("qwen3.5", "structured_page") == {"temperature": 0, "extra_params": {"presence_penalty": 0.3}}
+    assert prompts.retry_parameters({"a": 1}, True, {"s": 1}, dialect="vllm") == {"a": 1, "structured_outputs": {"json": {"s": 1}}, "presence_penalty": 0.3}
+    assert prompts.retry_parameters(None, False, {}) == {"presence_penalty": 0.3}
+    assert prompts.context_chars() == 44688 and prompts.output_budget()["ok"] and prompts.output_budget(max_tokens=25_000)["short"] == {"B3": 24256}
+    assert prompts.output_cut("text") == 7000 and prompts.output_cut("image", "B1") == 25500 and prompts.output_cut("image") == 29500
+
+
+def test_requests(spark):
+    import hashlib
+
+    from folia.functions import prompts
+    from pyspark.sql import functions as F
+
+    text = 'say "é"\n\\ <x>'
+    df = spark.createDataFrame([(text, b"\x89PNG" * 40)], "t string, png binary")
+    r = df.select(
+        prompts.text_messages(F.col("t")).alias("a"), prompts.image_messages(F.col("png"), prompts.CLASSIFY).alias("b"), prompts.plain_text_messages(F.col("t")).alias("c"),
+        prompts.input_key(prompts.text_messages(F.col("t"))).alias("key"), prompts.rendered("cmd", F.col("t"), as_string=True).alias("p"),
+        prompts.seed(F.lit("k"), F.lit(1), 0.4).alias("s"), prompts.seed(F.lit("k"), F.lit(1), 0.0).alias("s0"), prompts.seed(F.lit("k"), F.lit(1), 1.0, 7).alias("s7"),
+    ).first()
+    want = [{"role": "system", "content": "structured_extraction"}, {"role": "user", "content": [{"type": "text", "text": text}]}]
+    assert json.loads(r.a) == want and r.key == hashlib.sha256(json.dumps(want, sort_keys=True).encode()).hexdigest()
+    image = json.loads(r.b)[1]["content"][0]["image_url"]["url"]
+    assert image.startswith("data:image/png;base64,iVBOR") and "\n" not in image and json.loads(r.c)[1]["content"] == text
+    assert r.p == prompts.PREFIX.format(command="cmd") + " " * 8 + text + prompts.SUFFIX
+    assert (r.s, r.s0, r.s7) == (int.from_bytes(hashlib.sha256(b"k:1").digest()[:4], "big") % 2**31, None, 7)
+
+
+def test_figure_verdict(spark):
+    from folia.functions import columns
+    from pyspark.sql import functions as F
+
+    said = [("Figure.", "figure"), (" artifact ", "artifact"), ("a figure", None), (None, None), ("figure\nbecause", None)]
+    df = spark.createDataFrame([(k, s) for k, (s, _) in enumerate(said)], "k int, s string").select("k", columns.figure_verdict(F.col("s")).alias("v"))
+    assert [r.v for r in sorted(df.collect())] == [v for _, v in said]

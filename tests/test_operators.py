@@ -1,5 +1,6 @@
 """Operators on literal fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folia.functions import columns as C
@@ -73,13 +74,105 @@ def test_metrics(spark):
 
 
 def test_attempts(spark):
-    df = spark.createDataFrame(
-        [(1, 1, 1, "first", "parse", "x"), (1, 1, 2, "retry", "ok", "y"), (1, 2, 1, "first", "ok", "z"), (1, 3, 1, "first", "length", "a"), (1, 3, 2, "retry", "degenerate", "b")],
-        "doc_id int, page int, attempt int, rung string, verdict string, text string",
-    )
-    assert rows(quality.first_ok(df), "page", "status", "rung", "model_calls", "text") == [
-        (1, "ok_coerced", "retry", 2, "y"), (2, "ok", "first", 1, "z"), (3, "degenerate", "retry", 2, "b"),
+    """The ladder: an ok of the same request, a stopped clock, a rescue, a rescue of nothing, and what failures are called."""
+    a = [
+        (1, 1, "first", "parse", "stop", "x", None), (1, 2, "retry_enforced", "ok", "stop", "y", 900),
+        (2, 1, "first", "ok", "stop", "z", 5),
+        (3, 1, "first", "length", "length", "a", None), (3, 2, "retry_enforced", "degenerate", "stop", "b", None),
+        (4, 1, "first", "degenerate", "repetition_abort", "l" * 99, None), (4, 2, "reroll", "ok", "stop", "again", 5),
+        (5, 1, "first", "degenerate", "repetition_abort", "l", None), (5, 2, "reroll", "empty", "stop", "", None), (5, 3, "retry_unenforced", "parse", "stop", "{", None),
+        (6, 1, "first", "parse", "wall_clock_abort", "w", None),
+        (7, 1, "first", "parse", "stop", "c" * 20_000, None), (7, 2, "retry_enforced", "ok", "stop", "few", 100),
+        (8, 1, "first", "degenerate", "repetition_abort", "c" * 20_000, None), (8, 2, "reroll", "parse", "stop", "s" * 10, None), (8, 3, "retry_enforced", "ok", "stop", "few", 100),
+        (9, 1, "first", "schema", "stop", "s", None), (9, 2, "retry_enforced", "degenerate", "repetition_abort", "b", None),
+    ]
+    df = spark.createDataFrame([(1, *x) for x in a], "doc_id int, page int, attempt int, rung string, verdict string, finish string, text string, chars long")
+    cols = ("page", "status", "rescued_by", "attempts", "model_calls", "schema_coerced", "degenerate", "repetition_abort", "text")
+    assert rows(quality.first_ok(df), *cols) == [
+        (1, "ok_coerced", "retry_enforced", 2, 2, True, False, False, "y"), (2, "ok", "none", 1, 1, False, False, False, "z"),
+        (3, "overlong_failed", "none", 2, 2, False, True, False, None), (4, "ok", "reroll", 2, 2, False, False, False, "again"),
+        (5, "empty_completion", "none", 2, 3, False, False, False, None), (6, "wall_clock_abort", "none", 1, 1, False, False, False, None),
+        (7, "coerced_empty", "none", 2, 2, True, False, False, None), (8, "ok_coerced", "retry_enforced", 2, 3, True, False, False, "few"),
+        (9, "failed", "none", 2, 2, False, True, True, None),
     ]
+    blank = df.where("page = 7").withColumn("ink", F.lit(0.001))
+    assert quality.first_ok(blank).first().status == "ok_coerced"
+    got = quality.with_fallback(quality.first_ok(df), spark.createDataFrame([(1, 3, "f"), (1, 2, "f"), (1, 6, None)], "doc_id int, page int, text string"))
+    got = {r.page: r for r in got.collect()}
+    assert (got[3].status, got[3].rescued_by, got[3].model_calls, got[3].text) == ("fallback_ok", "fallback", 3, "f")
+    assert got[2].status == "ok" and got[6].status == "wall_clock_abort"
+
+
+def test_case_rescue_of_repeated_tokens(spark):
+    df = lambda words: spark.createDataFrame([(1, w) for w in words], "doc_id bigint, token string")
+    assert rows(quality.case_matches(df(["FOOBAR", "ABc"]), df(["fooBar", "fooBar", "aBC", "AbC"])), "token", "closest") == [("FOOBAR", "fooBar")]
+
+
+def test_wall_clock(spark):
+    ts = "cast('2024-01-01 00:00:00' as timestamp) + make_interval(0, 0, 0, 0, 0, 0, s)"
+    df = spark.createDataFrame([(1, 0.0, "abc"), (1, 9.5, "de"), (1, 10.5, "f"), (2, 0.0, "g"), (2, 10.0, "h")], "doc_id int, s double, piece string").withColumn("ts", F.expr(ts))
+    got = quality.wall_clock(df, 10, ("doc_id",)).collect()
+    assert [(r.doc_id, r.chars, r.stopped.second) for r in got] == [(1, 5, 10)]
+
+
+def test_page_limits(spark):
+    df = spark.createDataFrame([(k, s, c) for k, (s, c) in enumerate([(10.0, 4000), (600.0, 30_000), (10.0, 50_000), *[(20.0, 100)] * 10])], "order int, seconds double, chars int")
+    got = sorted(quality.page_limits(df).collect(), key=lambda r: r.order)
+    assert [(r.timeout, r.char_limit) for r in got[:3]] == [(600.0, 10_000), (541.5, 9600), (660.0, 17_000)]
+    assert got[1].slow and got[1].long and (got[12].timeout, got[12].char_limit) == (900.0, 75_000) and not got[0].slow
+
+
+def test_oversize_and_cut(spark):
+    df = spark.createDataFrame([(1, "a" * 10), (2, "a" * 11), (3, "é" * 9), (4, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in pages.oversize(df, 10, 17).collect()}
+    assert [got[k].status for k in (1, 2, 3, 4)] == [None, "oversize", "oversize", None]
+    assert got[2].error.startswith("11 chars (~3 tok)") and got[3].error.startswith("18 tokens")
+    lines = spark.createDataFrame([(["aaaa", "bbbbbbbbbb", "cc"],)], "items array<string>").select(pages.packed(F.col("items"), 9, 6, cut=True).alias("g"))
+    assert lines.first().g == [["aaaa"], ["bbbbbb"], ["cc"]]
+
+
+def test_figures_and_responses(spark):
+    import json
+
+    from folia.operators import document
+
+    ok = spark.createDataFrame([(1, "f1"), (1, "f2"), (2, "f1")], "doc_id int, figure_id string")
+    assert document.validated(ok) is ok
+    for bad in ((1, "f2"), (3, None), (3, "")):
+        with pytest.raises(ValueError, match=f"document {bad[0]}"):
+            document.validated(ok.union(spark.createDataFrame([bad], ok.schema)))
+    d = spark.createDataFrame(
+        [(1, 'a "q"', 3, '{"summary":"s","metadata":{"id":1},"images":[{"x":1}],"fidelity":{}}', "m", "no"), (2, "b", None, None, "m", "no")],
+        "doc_id int, markdown string, total_pages int, structured string, modality string, fidelity string",
+    ).withColumn("total_figures", F.lit(0)).withColumn("total_time_seconds", F.lit(1.5))
+    got = {r.doc_id: json.loads(r.json) for r in document.response(d).collect()}
+    log = {"total_pages": 3, "total_figures": 0, "total_time_seconds": 1.5, "modality": "m"}
+    assert got[1] == {"markdown": 'a "q"', "images": [{"x": 1}], "processing_log": log, "metadata": {"id": 1}, "summary": "s", "semantic_chunks": [], "tables": []}
+    assert got[2] == {"markdown": "b", "images": [], "processing_log": {**log, "total_pages": 0}}
+    assert "metadata" not in json.loads(document.response(d, True).where("doc_id = 1").first().json)
+    pics = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "doc_id int, figure_id string")
+    page = [("a", ([(None, "", None), (None, "cap", None)], "sum")), ("b", ([], "sum"))]
+    pg = spark.createDataFrame(page, "figure_id string, data struct<figures array<struct<bbox string, caption string, description string>>, summary string>")
+    assert {r.figure_id: r.caption for r in document.media_captions(pics, pg).collect()} == {"a": "cap", "b": "sum", "c": ""}
+
+
+def test_caption_chunks(spark):
+    caps = spark.createDataFrame([(1, "Figure 1. A view of the  harbour"), (1, None), (2, "x")], "doc_id bigint, caption string")
+    chunks = spark.createDataFrame(
+        [(1, "a", "figure 1. a view of the harbour.", None), (1, "b", "Figure 1. A view of the harbor", None), (1, "c", "other words", "Figure 1. A view of the harbour"), (1, "d", "no", None), (2, "a", "Figure 1. A view of the harbour", "")],
+        "doc_id bigint, chunk_id string, content string, title string",
+    )
+    assert rows(tables.caption_chunks(caps, chunks), "doc_id", "chunk_id") == [(1, "a"), (1, "b"), (1, "c")]
+
+
+def test_summary_tree(spark):
+    from folia.operators import summary
+
+    items = spark.createDataFrame([(1, k, f"s{k}" * 3) for k in range(6)] + [(2, 0, "one"), (3, 0, "x" * 9), (3, 1, "y" * 9), (4, 0, " "), (5, 0, "a" * 30)], "doc_id int, nth int, text string")
+    answers = [(1, 0, 0, "p"), (1, 0, 1, None), (1, 0, 2, "q"), (1, 1, 0, "Root of p and q. More."), (2, 0, 0, "Only."), (3, 0, 0, None), (5, 0, 0, "word " * 20)]
+    got = {r.doc_id: r for r in summary.tree_summaries(items, spark.createDataFrame(answers, "doc_id int, level int, block int, text string"), 13, 17).collect()}
+    assert (got[1].summary, got[1].calls, got[1].levels) == ("Root of p and q.", 4, 2) and (got[2].summary, got[2].calls) == ("Only.", 1)
+    assert got[3].error == "every call of level 0 failed" and 4 not in got and got[5].error == "no sentence fits the budget"
 
 
 def test_fidelity(spark):
@@ -123,8 +216,9 @@ def test_folds(spark):
     assert got == [["a" * 8, "b" * 4], ["b" * 4, "c" * 8]]
     heads = one.select(pages.heading_lines(arr("# a", "```", "# no", "```", "### b", "#c")).alias("h")).first().h
     assert [(h.at, h.line) for h in heads] == [(0, "# a"), (4, "### b")]
-    p = spark.createDataFrame([(1, k) for k in range(1, 6)], "doc_id int, page int")
-    assert rows(pages.page_range(p, None, 2), "page", "total_pages") == [(1, 5), (2, 5)] and pages.page_range(p, 4, 2).count() == 0
+    p = spark.createDataFrame([(1, list("abcde")), (2, ["f"])], "doc_id int, pages array<string>")
+    assert rows(pages.page_range(p, None, 2), "doc_id", "page", "text", "total_pages") == [(1, 1, "a", 5), (1, 2, "b", 5), (2, 1, "f", 1)]
+    assert rows(pages.page_range(p, 5, None), "page", "text") == [(5, "e")] and pages.page_range(p, 4, 2).count() == 0
 
 
 def test_columns(spark):
