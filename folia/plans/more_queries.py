@@ -215,10 +215,10 @@ def replay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, CASE WHEN f + s + c < 2 THEN 'keep' WHEN f >= s AND f >= c THEN 'footnote' WHEN s >= c THEN 'raised' ELSE 'caret' END AS style FROM
 (SELECT doc_id, len(regexp_extract_all(t, '\[\^\d+\]')) - len(regexp_extract_all(t, '\[\^\d+\]:')) AS f, len(regexp_extract_all(t, '<sup>\d[\d,\s]*</sup>')) AS s, len(regexp_extract_all(t, '\^\d+\^')) AS c
-FROM (SELECT doc_id, concat(repeat('a[^1] ', CAST(doc_id % 3 AS INT)), repeat('b<sup>1,2</sup> ', CAST(doc_id % 4 AS INT)), repeat('c^3^ ', CAST(doc_id % 5 AS INT)), '[^9]: x') AS t FROM documents))""")
+FROM (SELECT doc_id, concat(repeat('a[^1] ', CAST(doc_id % 3 AS INT)), repeat('b<sup>1,2</sup> ', CAST(doc_id % 4 AS INT)), repeat('c^3^ ', CAST(doc_id % 5 AS INT)), '[^9]: x ', text) AS t FROM documents))""")
 def citation_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda s, k: F.repeat(F.lit(s), (F.col("doc_id") % k).cast("int"))
-    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(part("a[^1] ", 3), part("b<sup>1,2</sup> ", 4), part("c^3^ ", 5), F.lit("[^9]: x")).alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(part("a[^1] ", 3), part("b<sup>1,2</sup> ", 4), part("c^3^ ", 5), F.lit("[^9]: x "), "text").alias("t"))
     return t.select("doc_id", C.citation_style(F.col("t")).alias("style"))
 
 
@@ -238,10 +238,11 @@ def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.last_part(F.col("text"), 300).alias("tail"), C.chunk_cap(F.col("text"), 5000).alias("cap"))
 
 
-@query("SELECT doc_id, left(sha256(CAST(strlen(text) AS VARCHAR) || left(text, 1000)), 16) AS run_id FROM documents")
+@query("SELECT doc_id, left(sha256(encode(CAST(strlen(text) AS VARCHAR)) || CAST(array_slice(encode(text), 1, 65536) AS BLOB)), 16) AS run_id FROM documents")
 def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.octet_length("text").cast("string"), F.substring("text", 1, 1000))
-    return table(spark, sf_dir, "documents").select("doc_id", C.doc_hash(t.cast("binary")).alias("run_id"))
+    raw = F.encode("text", "UTF-8")
+    named = F.concat(F.encode(F.length(raw).cast("string"), "UTF-8"), F.substring(raw, 1, 65536))
+    return table(spark, sf_dir, "documents").select("doc_id", C.doc_hash(named).alias("run_id"))
 
 
 @query()

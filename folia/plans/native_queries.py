@@ -84,11 +84,11 @@ def demote_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT doc_id, regexp_replace(t, '(data:[A-Za-z0-9.+/;=-]*;base64,)[A-Za-z0-9+/=]{200,}', '\\1[payload removed]', 'g') AS text,
   len(regexp_extract_all(t, 'data:[A-Za-z0-9.+/;=-]*;base64,[A-Za-z0-9+/=]{200,}')) AS removed
-FROM (SELECT doc_id, 'data:image/png;base64,' || repeat(left(md5(text), 8), CAST(doc_id % 60 AS INT)) || ' ' || left(text, 50) AS t FROM documents)
+FROM (SELECT doc_id, 'data:image/png;base64,' || repeat(left(md5(text), 8), CAST(doc_id % 60 AS INT)) || ' ' || text AS t FROM documents)
 """)
 def strip_data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.repeat(F.substring(F.md5("text"), 1, 8), (F.col("doc_id") % 60).cast("int"))
-    t = F.concat(F.lit("data:image/png;base64,"), payload, F.lit(" "), F.substring("text", 1, 50))
+    t = F.concat(F.lit("data:image/png;base64,"), payload, F.lit(" "), "text")
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", C.without_payloads(F.col("t")).alias("text"), F.regexp_count("t", F.lit(C.DATA_URI)).cast("bigint").alias("removed"))
 
@@ -114,12 +114,12 @@ def doctype_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT conv_id AS doc_id, turn, unnest(list_slice(string_split(text, ' '), 1, 3)) AS word, unnest([1, 2, 3]) AS k FROM conversations),
-f AS (SELECT doc_id, word, min(turn * 10 + k) AS pos FROM w WHERE word IS NOT NULL GROUP BY ALL)
+WITH w AS (SELECT conv_id AS doc_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS k FROM conversations),
+f AS (SELECT doc_id, word, min(turn * 1000000 + k) AS pos FROM w WHERE word IS NOT NULL GROUP BY ALL)
 SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS keywords FROM f GROUP BY doc_id
 """)
 def keyword_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turn_pages(spark, sf_dir).withColumn("keywords", F.slice(F.split("text", " "), 1, 3))
+    t = turn_pages(spark, sf_dir).withColumn("keywords", F.split("text", " "))
     listed = t.groupBy("doc_id").agg(assembly.in_page_order(F.col("keywords"), "page").alias("k"))
     return listed.select("doc_id", F.array_join(assembly.union_in_order(F.col("k")), " ").alias("keywords"))
 
@@ -145,7 +145,27 @@ def summary_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pages(spark, sf_dir).select("doc_id", "page", summary.within_budget(F.col("text"), 200).alias("summary"))
 
 
-@query()
+STOP_SQL = ", ".join(f"'{w}'" for w in summary.STOPWORDS)
+
+
+@query(rf"""
+WITH p AS (SELECT conv_id AS doc_id, turn, trim(text, E' \n\t\r') AS s, role FROM conversations), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY ALL),
+f AS (SELECT * FROM p WHERE s <> ''),
+u AS (SELECT doc_id, 0 AS part, min(turn) AS turn, arg_min(s, turn) AS s FROM f GROUP BY doc_id UNION ALL SELECT doc_id, 1, turn, s FROM f WHERE role = 'system'
+  UNION ALL SELECT f.doc_id, CASE role WHEN 'user' THEN 2 ELSE 3 END, turn, s FROM f JOIN n ON f.doc_id = n.doc_id WHERE role <> 'system' AND n.n <= 30),
+d AS (SELECT doc_id, s, min(part * 1000000 + turn) AS pos FROM u GROUP BY ALL),
+l AS (SELECT doc_id, flatten(list({SENTENCES_SQL.replace('(text,', '(s,')} ORDER BY pos)) AS ss FROM d GROUP BY doc_id),
+k AS (SELECT doc_id, list_transform(ss, lambda s: {{'s': s, 'w': list_distinct(list_filter(regexp_extract_all(lower(s), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([{STOP_SQL}], w)))}}) AS ss FROM l),
+r AS (SELECT doc_id, list_reduce(ss, lambda a, x: CASE
+    WHEN NOT a.go THEN a
+    WHEN len(a.out) > 0 AND (len(x.w) = 0 OR len(list_filter(x.w, lambda t: NOT list_contains(a.known, t))) / len(x.w) < 0.5)
+      THEN {{'out': a.out, 'known': a.known, 'used': a.used, 'dropped': a.dropped + 1, 'go': true}}
+    WHEN a.used + length(x.s) + (CASE WHEN len(a.out) > 0 THEN 1 ELSE 0 END) <= 600
+      THEN {{'out': list_append(a.out, x.s), 'known': list_concat(a.known, x.w), 'used': a.used + length(x.s) + (CASE WHEN len(a.out) > 0 THEN 1 ELSE 0 END), 'dropped': a.dropped, 'go': true}}
+    ELSE {{'out': a.out, 'known': a.known, 'used': a.used, 'dropped': a.dropped, 'go': false}} END,
+  {{'out': []::VARCHAR[], 'known': []::VARCHAR[], 'used': 0::BIGINT, 'dropped': 0, 'go': true}}) AS a FROM k)
+SELECT n.doc_id, CASE WHEN len(r.a.out) > 0 THEN array_to_string(r.a.out, ' ') END AS summary, coalesce(r.a.dropped, 0) AS dropped FROM n LEFT JOIN r ON n.doc_id = r.doc_id
+""")
 def summary_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.when(F.col("role") == "system", F.array(F.lit("abstract"))).when(F.col("role") == "user", F.array(F.lit("introduction")))
     t = turn_pages(spark, sf_dir).withColumnRenamed("text", "summary")
@@ -412,13 +432,13 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CAST((length(text) - length(replace(text, tail, ''))) // length(tail) AS BIGINT) AS times
-FROM (SELECT doc_id, text, right(text, 40) AS tail FROM documents WHERE length(text) >= 40)
+SELECT doc_id, CASE WHEN tail = '' THEN 0 ELSE CAST((length(text) - length(replace(text, tail, ''))) // length(tail) AS BIGINT) END AS times
+FROM (SELECT doc_id, text, right(text, 40) AS tail FROM documents WHERE text IS NOT NULL)
 """)
 def loop_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 40).withColumn("tail", F.expr("right(text, 40)"))
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("tail", F.expr("right(text, 40)"))
     times = (F.length("text") - F.length(F.replace("text", F.col("tail"), F.lit("")))) / F.length("tail")
-    return d.select("doc_id", F.floor(times).cast("bigint").alias("times"))
+    return d.select("doc_id", F.when(F.col("tail") == "", 0).otherwise(F.floor(times)).cast("bigint").alias("times"))
 
 
 @query(r"""
@@ -444,13 +464,31 @@ def render_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", assembly.raw_sections(sections).alias("raw"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, E'\n') AS lines FROM documents),
+k AS (SELECT doc_id, len(lines) AS n, list_transform(lines, lambda t: list_distinct(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))) AS ws FROM l),
+r AS (SELECT doc_id, n, list_reduce(ws, lambda a, y: CASE
+    WHEN a.n > 0 AND len(a.last) > 0 AND len(y) > 0 AND len(list_intersect(a.last, y)) / (len(a.last) + len(y) - len(list_intersect(a.last, y))) > 0.6
+      THEN {'n': a.n, 'last': CASE WHEN len(y) > len(a.last) THEN y ELSE a.last END}
+    ELSE {'n': a.n + 1, 'last': y} END, {'n': 0, 'last': []::VARCHAR[]}) AS a FROM k)
+SELECT doc_id, CAST(n AS INT) AS n, r.a.n AS n_kept FROM r
+""")
 def chunk_jaccard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = doc_lines(spark, sf_dir).select("doc_id", F.size("lines").alias("n"), summary.without_similar_neighbours(F.col("lines")).alias("kept"))
     return lines.select("doc_id", "n", F.size("kept").alias("n_kept"))
 
 
-@query()
+#: Lists of lines packed greedily, as counts and characters of the groups.
+PACKED_SQL = r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, E'\n'), lambda x: {item}) AS items FROM documents),
+r AS (SELECT doc_id, list_reduce(items, lambda a, x: CASE
+    WHEN a.n > 0 AND (a.n >= {most} OR a.used + length(x) + 1 > {chars}) THEN {{'out': list_append(a.out, {{'n': a.n, 'chars': a.used}}), 'n': 1, 'used': length(x)}}
+    ELSE {{'out': a.out, 'n': a.n + 1, 'used': a.used + length(x) + (CASE WHEN a.n > 0 THEN 1 ELSE 0 END)}} END,
+  {{'out': []::STRUCT(n INTEGER, chars BIGINT)[], 'n': 0, 'used': 0::BIGINT}}) AS a FROM l),
+g AS (SELECT doc_id, list_append(r.a.out, {{'n': r.a.n, 'chars': r.a.used}}) AS gs FROM r), o AS (SELECT doc_id, unnest(gs) AS g, unnest(range(0, len(gs))) AS k FROM g)
+"""
+
+
+@query(PACKED_SQL.format(item="'## ' || x", most=24, chars=1700) + "SELECT doc_id, CAST(k AS INT) AS \"window\", g.n AS n FROM o")
 def heading_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.transform("lines", lambda x: F.concat(F.lit("## "), x))
     found = doc_lines(spark, sf_dir).select("doc_id", pages.heading_lines(heads).alias("heads"))
@@ -458,7 +496,15 @@ def heading_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode(groups).alias("window", "lines")).select("doc_id", "window", F.size("lines").alias("n"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, E'\n') AS ps FROM documents),
+r AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE
+    WHEN len(a.cur) > 0 AND list_sum(list_transform(a.cur, lambda q: length(q) // 4)) + length(x) // 4 > 200
+      THEN {'out': list_append(a.out, a.cur), 'cur': list_append(list_filter(a.cur, lambda p, i: list_sum(list_transform(list_slice(a.cur, i, len(a.cur)), lambda q: length(q) // 4)) <= 40), x)}
+    ELSE {'out': a.out, 'cur': list_append(a.cur, x)} END, {'out': []::VARCHAR[][], 'cur': []::VARCHAR[]}) AS a FROM l),
+s AS (SELECT doc_id, list_append(r.a.out, r.a.cur) AS ss FROM r), o AS (SELECT doc_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS k FROM s)
+SELECT doc_id, CAST(k AS INT) AS section, CAST(len(s) AS INT) AS n, md5(array_to_string(s, E'\n\n')) AS md5 FROM o
+""")
 def section_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = doc_lines(spark, sf_dir).select("doc_id", F.posexplode(pages.sections(F.col("lines"), 200, 40)).alias("section", "paragraphs"))
     return made.select("doc_id", "section", F.size("paragraphs").alias("n"), F.md5(F.array_join("paragraphs", "\n\n")).alias("md5"))

@@ -1,4 +1,5 @@
-"""Queries whose operators SQL can't express; their tests compare them with literal fixtures."""
+"""Queries whose operators are Arrow functions; SQL says some of them in closed form, tests/test_query_rules.py the others in
+plain Python."""
 
 from __future__ import annotations
 
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from folia.functions import arrow, split
 from folia.operators import pages, quality, tables
-from folia.plans.native_queries import _tokens
-from folia.sources.tables import fragments, table
+from folia.plans.native_queries import PACKED_SQL, TOKENS_SQL, _tokens
+from folia.sources.tables import FRAGMENTS_SQL, fragments, table
 from folia.streaming import stateful
 from folia.streaming.guards import Limits
 
@@ -114,12 +115,11 @@ def fidelity_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figure_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as chunks; every second turn of a conversation, with a dot at its end, is a figure's caption."""
+    """Turns as chunks, and with a dot at their ends as figures' captions."""
     c = table(spark, sf_dir, "conversations")
     chunks = c.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("c"), "turn").alias("chunk_id"), F.col("turn").alias("nth"), F.col("text").alias("content"), F.lit(None).cast("string").alias("title"))
-    figures = c.where("turn % 2 = 1").select(
-        F.col("conv_id").alias("doc_id"), F.concat(F.lit("f"), "turn").alias("figure_id"), F.col("turn").alias("nth"), F.concat(F.upper("text"), F.lit(".")).alias("caption"),
-        F.lit("crop").alias("crop_path"),
+    figures = c.select(
+        F.col("conv_id").alias("doc_id"), F.concat(F.lit("f"), "turn").alias("figure_id"), F.col("turn").alias("nth"), F.concat("text", F.lit(".")).alias("caption"), F.lit("crop").alias("crop_path")
     )
     return tables.place_figures(figures, chunks)
 
@@ -137,10 +137,28 @@ def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    made = lines.select("doc_id", F.posexplode(pages.packed(F.transform("lines", lambda x: F.substring(x, 1, 1000)), 1 << 30, 1000)).alias("block", "items"))
+    made = lines.select("doc_id", F.posexplode(pages.packed(F.col("lines"), 1 << 30, 1000)).alias("block", "items"))
     return made.select("doc_id", "block", F.size("items").alias("n"), F.length(F.array_join("items", "\n")).alias("chars"))
 
 
+BOUNDARY_SQL = """({k} = 0 OR {k} = length(v) OR contains('._-', substr(v, {k}, 1)) OR contains('._-', substr(v, {k} + 1, 1))
+  OR regexp_matches(substr(v, {k}, 2), '^[a-z][A-Z]$') OR regexp_matches(substr(v, {k}, 1), '[0-9]') <> regexp_matches(substr(v, {k} + 1, 1), '[0-9]')
+  OR regexp_matches(substr(v, {k}, 3), '^[A-Z][A-Z][a-z]$'))"""
+
+SQL = {
+    "table_flat_text": f"""SELECT doc_id, page, 'a | b' || chr(10) || array_to_string(list_transform(range(0, cols + 1), lambda k: k || ' x'), ' | ') AS flat,
+      CAST(greatest(2, cols + 1) AS INT) AS widest FROM {FRAGMENTS_SQL}""",
+    "json_lenient": """SELECT event_id, CASE WHEN event_id % 4 < 3 THEN '{"k": ' || json_extract_string(props, '$.k') || '}' END AS "value", CASE WHEN event_id % 4 = 3 THEN 'json parse' END AS error FROM events""",
+    "fidelity_segment": f"""WITH {TOKENS_SQL}, s AS (SELECT DISTINCT doc_id, t FROM (SELECT unk.doc_id, unk.token AS t, src.token AS v, unnest(range(0, length(src.token) - length(unk.token) + 1)) AS k
+      FROM unk JOIN src ON unk.doc_id = src.doc_id AND contains(src.token, unk.token))
+      WHERE substr(v, k + 1, length(t)) = t AND {BOUNDARY_SQL.format(k='k')} AND {BOUNDARY_SQL.format(k='(k + length(t))')})
+      SELECT doc_id, token FROM unk WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = unk.doc_id AND s.t = unk.token)""",
+    "figure_placement": """WITH k AS (SELECT conv_id AS doc_id, turn, rtrim(regexp_replace(lower(trim(text, E' \n\t')), '\\s+', ' ', 'g'), '.') AS key FROM conversations),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY turn) AS nth FROM k WHERE key <> '') SELECT f.doc_id, 'f' || f.turn AS figure_id, 'c' || c.turn AS chunk_id
+      FROM r f JOIN r c ON f.doc_id = c.doc_id AND f.key = c.key AND f.nth = c.nth""",
+    "block_pack": PACKED_SQL.format(item="x", most=1 << 30, chars=1000) + "SELECT doc_id, CAST(k AS INT) AS block, g.n AS n, CAST(g.chars AS INT) AS chars FROM o",
+}
+
 QUERIES = {
     f.__name__: f
     for f in (
