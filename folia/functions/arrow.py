@@ -16,11 +16,18 @@ from folia.functions.columns import CJK
 
 
 def per_text(f: Callable, kind: T.DataType) -> Callable[..., Column]:
-    """A column function that applies f to each row's text; null stays null."""
+    """A column function that applies f to each row's text, once a batch to equal ones; null stays null."""
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else f(t))
+        known = {None: None}
+
+        def of(t):
+            if t not in known:
+                known[t] = f(t)
+            return known[t]
+
+        return texts.map(of)
 
     return run
 

@@ -84,9 +84,10 @@ def best_grid(w: Column, h: Column) -> Column:
     return F.array_min(F.array(*options))
 
 
-def image_tokens(w: Column, h: Column) -> Column:
-    """Tokens that an image of this size takes: the fitted part of the grid, a token a row, and the overview tile."""
-    grid = best_grid(w, h)
+def image_tokens(w: Column, h: Column, grid: Column | None = None) -> Column:
+    """Tokens that an image of this size takes: the fitted part of the grid, a token a row, and the overview tile. grid is best_grid()
+    of a select before this one, so that it is worked out once and not for each of its fields."""
+    grid = best_grid(w, h) if grid is None else grid
     rows, cols = GRID * F.floor(grid["ph"] / TILE), GRID * F.floor(grid["pw"] / TILE)
     wide = w / h > cols / rows
     new_rows = F.floor(F.round(h * (cols / w), 7))

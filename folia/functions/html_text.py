@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 HEADS = {f"h{k}": k for k in range(1, 7)}
@@ -126,16 +127,22 @@ class Rows(HTMLParser):
             self.open[-1][0] += data
 
 
+#: Tables of which a worker remembers what it has read: continued ones and forms come again and again.
+KNOWN = 1024
+
+
 def collapsed(s: str) -> str:
     return re.sub(r"\s+", " ", s or "").strip()
 
 
+@lru_cache(KNOWN)
 def flat_table(html: str, caption: str | None = None) -> str:
     """The caption, then a line a row with its cells between bars."""
     head = [collapsed(caption)] if caption else []
     return "\n".join(head + [" | ".join(collapsed(c[0]) for c in row) for row in Rows(html).rows])
 
 
+@lru_cache(KNOWN)
 def widest_row(html: str) -> int:
     return max((len(r) for r in Rows(html).rows), default=0)
 

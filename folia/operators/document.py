@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.operators import assembly
+from folia.operators.pages import heading_lines, packed
 
 #: A page extraction; boxes are flat or quads in the text, and both become [x0, y0, x1, y1].
 EXTRACTION = """struct<metadata struct<title string, authors array<string>, organization string, year string, doc_type string>, summary string,
@@ -184,3 +185,30 @@ def media_captions(pictures: DataFrame, pages: DataFrame) -> DataFrame:
     own = F.get(F.filter("data.figures", lambda f: f["caption"] != ""), F.lit(0))["caption"]
     told = pages.select("figure_id", F.coalesce(own, F.col("data.summary")).alias("caption"))
     return pictures.join(told, "figure_id", "left").select("doc_id", "figure_id", F.coalesce("caption", F.lit("")).alias("caption"))
+
+
+#: Headings, and their characters, of a window that is sent for other levels.
+WINDOW_LINES, WINDOW_CHARS = 24, 1700
+
+
+def heading_windows(chunks: DataFrame) -> DataFrame:
+    """doc_id, window, heads (chunk, at, line of each heading), in the order of chunks (doc_id, chunk, nth, content): what is
+    sent for other levels."""
+    found = heading_lines(F.split("content", "\n"))
+    heads = F.transform(found, lambda h: F.struct(F.col("nth").alias("nth"), h["at"].alias("at"), F.col("chunk").alias("chunk"), h["line"].alias("line")))
+    listed = chunks.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(heads))).alias("heads"))
+    groups = packed(F.transform("heads", lambda h: h["line"]), WINDOW_LINES, WINDOW_CHARS)
+    cut = listed.where(F.size("heads") > 0).withColumn("sizes", F.transform(groups, lambda g: F.size(g)))
+    cut = cut.select("doc_id", "heads", "sizes", F.posexplode("sizes").alias("window", "n"))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("window")), F.lit(0), lambda a, n: a + n)
+    return cut.select("doc_id", "window", F.slice("heads", before + 1, F.col("n")).alias("heads"))
+
+
+def heading_fix(chunks: DataFrame, replies: DataFrame) -> DataFrame:
+    """doc_id, chunk, content with the heading levels that replies (doc_id, window, text) give. A window's reply counts as a whole
+    or, if it drops, adds or rewrites a heading, not at all."""
+    told = heading_windows(chunks).join(replies.select("doc_id", "window", "text"), ["doc_id", "window"])
+    new = told.withColumn("lines", fixed_headings(F.transform("heads", lambda h: h["line"]), F.col("text"))).where("lines is not null")
+    pairs = new.select("doc_id", F.explode(F.arrays_zip("heads", "lines")).alias("p"))
+    lines = pairs.select("doc_id", F.col("p.heads.chunk").alias("chunk"), F.col("p.heads.at").alias("at"), F.col("p.lines").alias("line"))
+    return with_lines(chunks.select("doc_id", "chunk", "content"), lines)

@@ -378,7 +378,8 @@ def _image_sql() -> str:
 @query(_image_sql())
 def image_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = fragments(spark, sf_dir).select("w", "h").distinct()
-    return sizes.select("w", "h", C.image_tokens(F.col("w"), F.col("h")).alias("tokens"))
+    sizes = sizes.withColumn("grid", C.best_grid(F.col("w"), F.col("h")))
+    return sizes.select("w", "h", C.image_tokens(F.col("w"), F.col("h"), F.col("grid")).alias("tokens"))
 
 
 BUCKET_SQL = """CASE WHEN w / h >= 0.9 AND w / h <= 1.15 THEN 'B0' WHEN glyph IS NULL THEN 'B2'

@@ -156,6 +156,26 @@ def summary_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.summaries_by_mode(t, "model", answers, 600)
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, E'\n')) AS line, unnest(range(0, len(string_split(text, E'\n')))) AS k FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, k, CASE WHEN k % 3 = 0 THEN '## ' || line ELSE line END AS line, CASE WHEN k % 3 = 0 THEN k // 3 END AS nth FROM l),
+w AS (SELECT doc_id, list('## ' || line ORDER BY k) AS heads FROM l WHERE k % 3 = 0 GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(heads, lambda a, x: CASE
+    WHEN a.n > 0 AND (a.n >= 24 OR a.used + length(x) + 1 > 1700) THEN {'out': list_append(a.out, a.w + 1), 'n': 1, 'used': length(x), 'w': a.w + 1}
+    ELSE {'out': list_append(a.out, a.w), 'n': a.n + 1, 'used': a.used + length(x) + (CASE WHEN a.n > 0 THEN 1 ELSE 0 END), 'w': a.w} END,
+  {'out': []::INTEGER[], 'n': 0, 'used': 0::BIGINT, 'w': 0}) AS a FROM w)
+SELECT h.doc_id, md5(string_agg(CASE WHEN nth IS NOT NULL AND r.a.out[nth + 1] % 3 < 2 THEN '#' || h.line ELSE h.line END, E'\n' ORDER BY k)) AS md5 FROM h JOIN r ON h.doc_id = r.doc_id GROUP BY ALL
+""")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line as a heading; replies send them one level down, but every third window's reply drops its last line."""
+    heads = F.transform(F.split("text", "\n"), lambda x, k: F.when(k % 3 == 0, F.concat(F.lit("## "), x)).otherwise(x))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit("c").alias("chunk"), F.lit(0).alias("nth"), F.array_join(heads, "\n").alias("content"))
+    w = document.heading_windows(d)
+    lines = F.transform("heads", lambda h: F.concat(F.lit("#"), h["line"]))
+    sent = F.when(F.col("window") % 3 < 2, lines).otherwise(F.slice(lines, F.lit(1), F.size(lines) - 1))
+    return document.heading_fix(d, w.select("doc_id", "window", F.array_join(sent, "\n").alias("text"))).select("doc_id", F.md5("content").alias("md5"))
+
+
 @query()
 def fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a foreign model's pages: with wrong types, stray tags, cut off, or empty."""

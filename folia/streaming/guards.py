@@ -27,6 +27,10 @@ class Limits:
     repeated: int | None = None
 
 
+#: The limits of the current contract.
+CURRENT = Limits(length=60_000, periodic=3000, counter=6000, numeric=600, repeated=4000)
+
+
 @dataclass
 class LoopGuard:
     limits: Limits = field(default_factory=Limits)
