@@ -109,8 +109,9 @@ def place(pieces: DataFrame, length: int = 4096, shard: int = SHARD) -> DataFram
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document lies.
 
-    Null texts are empty, so they have the end id alone. Rows of equal or null doc_id are separate documents. An
-    empty table gives no rows.
+    Null texts are empty, so they have the end id alone. Rows of equal or null doc_id are separate documents, and ids of
+    any size stay whole. A text of any length is encoded whole and cut into pieces. An empty table gives no rows; other
+    columns are left out. Of equal sizes the smaller doc_id is placed first.
     """
     placed = place(token_pieces(docs, tokenizer, end_id, length), length)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

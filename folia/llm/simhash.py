@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from folia.llm.common import LOWER, broadcast_if_small, cut, text_only
 from folia.llm.graph import connected_components
@@ -324,22 +325,32 @@ def simhash_components(
     repeats: bool = True,
     inner: int | None = None,
 ) -> DataFrame:
-    """doc_id, the columns named in carry, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most radius bits.
+    """doc_id, the columns named in carry, fp, component, component_id: the smallest doc_id reachable over fingerprints that differ in at
+    most radius bits. component is a number of the component that no other has, even where rows of one doc_id lie in several.
+
+    doc_id has to be an integer: components are found over bigint ids, and another type is an error.
 
     tables None: candidates by exact_blocks(), which miss nothing. Else by sampled_blocks(), or with inner by
     nested_blocks(), which miss what nested_miss() says. Equal fingerprints are
-    compared once. repeats says whether a shingle counts as often as it occurs. A null text has no words. Rows of equal doc_id each count; a null doc_id names no component, and
-    a component of such rows alone has a null id. An empty table gives no rows.
+    compared once. repeats says whether a shingle counts as often as it occurs. A null text has no words. A text of any
+    length is read whole, some shingles at a time. Rows of equal doc_id each count; a null doc_id names no component, and
+    a component of such rows alone has a null id. An empty table gives no rows. Columns that carry does not name are
+    left out, whatever they are called.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be an integer")
     held = cut(fingerprints(docs, words, bits, carry, repeats))
-    nodes = cut(held.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")))
-    known = nodes.where("node is not null")
+    # a node is a fingerprint: rows of one doc_id may have several
+    nodes = cut(held.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("low")).withColumn("node", F.monotonically_increasing_id()))
+    known = nodes.where("low is not null").select("fp", "node")
     further = None
     if tables and inner:
         blocks, further = nested_blocks(bits, width, tables, inner)
     else:
         blocks = sampled_blocks(bits, width, tables) if tables else exact_blocks(bits, radius, known.count())
     slot = slot or (NESTED_SLOT if inner else SLOT)
-    found = connected_components(links(known, blocks, bits, radius, slot, further))
-    group = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return held.join(group, "fp").select("doc_id", *carry, "fp", "component_id")
+    found = cut(connected_components(links(known, blocks, bits, radius, slot, further)))
+    lows = cut(found.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("component_id")))
+    named = found.join(broadcast_if_small(lows), "component")
+    group = nodes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "low").alias("component_id"))
+    return held.join(group, "fp").select("doc_id", *carry, "fp", "component", "component_id")

@@ -240,7 +240,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, s: Se
 def score_toxicity(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id, score (0 to 1) of every row's whole text, with the columns named in keep.
 
-    A null or empty text, or one without words, scores what the share of toxic labels says. Only the text is read.
+    A null or empty text, or one without words, scores what the share of toxic labels says. Only the text is read, whole
+    whatever its length; rows of equal or null doc_id each get their score. An empty table gives no rows.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
