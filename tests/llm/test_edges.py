@@ -99,6 +99,12 @@ def test_token_files(docs, none):
     order = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in order] == sorted((i for i, _ in ROWS), key=lambda i: (i is not None, i or 0))
     assert {r.n_tokens for r in got if r.doc_id in (3, 4)} == {1}
+    # more files, cut by ids and by documents: the same documents in the same order
+    for bounds in ({"file_ids": 1000}, {"file_docs": 3}):
+        several = token_files.write_token_files(docs, BYTES, 2, **bounds)
+        assert len(several) > 1 and listed(token_files.read_token_files(docs, several), "doc_id", "start", "n_tokens", "ids_crc32") == listed(
+            token_files.read_token_files(docs, shards), "doc_id", "start", "n_tokens", "ids_crc32"
+        )
     assert token_files.write_token_files(none, BYTES, 2) == [] and token_files.read_token_files(none, []).count() == 0
 
 

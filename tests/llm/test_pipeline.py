@@ -61,3 +61,26 @@ def test_near_candidates(spark):
         got = connected_components(links(nodes.limit(600 if slot == SLOT else 40), blocks, near["bits"], near["radius"], slot, further)).collect()
         assert {(r.node, r.component) for r in got} == {(k, k - k % 2) for k in range(600 if slot == SLOT else 40)}
     assert nested_miss(near["bits"], near["width"], near["tables"], near["inner"], near["radius"]) < 2e-6
+
+
+def test_stages_at_the_edges(spark, tmp_path):
+    """Empty tables, and clashing column names beside nulls, repeated rows and a very long text."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, __key int, __d string, `a.b` int, kept boolean, fp string"
+    long = text(40_000)
+    rows = [(1, long), (2, None), (2, None), (3, ""), (None, long), (4, "one two"), (4, "one two"), (4, "three")]
+    for name, data in (("none", []), ("some", [(*r, "en", "s", 1, 7, "d", 5, True, "f") for r in rows])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (stage, f) in enumerate(P.STAGES[:-1]):
+            out = f(spark, docs, d)
+            assert out.columns == docs.columns
+            if stage != "toxicity":  # without labels every score is 0.5
+                docs = out
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if name == "none":
+            assert got == [] and P.run(spark, d).count() == 0
+        else:  # null and empty texts are one text, that of row 2, wherever ids tie one row stays
+            assert [i for i, _ in got] == [1, 2, 4, 4] and {t for i, t in got if i == 4} == {"one two", "three"}
