@@ -180,6 +180,25 @@ def telemetry(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "status", "attempts"))).alias("pages"))
 
 
+def trails(attempts: DataFrame) -> DataFrame:
+    """doc_id, page, trail: a page's calls in order: rung, verdict, finish, chars emitted."""
+    call = F.struct("attempt", "rung", "verdict", "finish", F.length("text").alias("chars"))
+    return attempts.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(call)).alias("trail"))
+
+
+def health(results: DataFrame) -> DataFrame:
+    """One row over all results: pages, documents, shares of failed pages and of pages that a fallback rescued, and documents
+    whose last result (by ts) is a transport error."""
+    bad = F.col("status").isin(*FAILED, "transport_error", "wall_clock_abort", "coerced_empty")
+    per_doc = results.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(F.col("status") == "fallback_ok").alias("rescued"), F.max_by(F.struct("ts", "seq", "status"), F.struct("ts", "seq")).alias("last")
+    )
+    return per_doc.agg(
+        F.sum("n").alias("pages"), F.count("*").alias("documents"), F.bround(F.sum("bad") / F.sum("n"), 4).alias("failed_share"), F.bround(F.sum("rescued") / F.sum("n"), 4).alias("rescued_share"),
+        F.count_if(F.col("last.status") == "transport_error").alias("documents_down"),
+    )
+
+
 def flags(tokens: DataFrame, most: int = 100) -> DataFrame:
     """tokens: doc_id, seq, where, token. Each distinct token with its number of fields and its first one; per document
     the first `most` by order of appearance."""

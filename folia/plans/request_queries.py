@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from folia.functions import arrow, prompts
 from folia.functions import columns as C
-from folia.operators import document, pages, summary, tables
+from folia.operators import document, pages, quality, summary, tables
 from folia.plans.python_queries import _pieces
-from folia.sources.tables import FRAGMENTS_SQL, fragments, table, turn_pages
+from folia.sources.tables import FRAGMENTS_SQL, PAGE_RESULTS_SQL, fragments, page_results, table, turn_pages
 from folia.streaming import stateful
 from folia.streaming.guards import Limits
 
@@ -176,6 +176,24 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.heading_fix(d, w.select("doc_id", "window", F.array_join(sent, "\n").alias("text"))).select("doc_id", F.md5("content").alias("md5"))
 
 
+@query(f"""SELECT doc_id, seq // 3 AS page, string_agg(CAST(seq % 3 + 1 AS VARCHAR) || ':' || status || ':' || CAST(trunc(value) AS INT), ' ' ORDER BY seq) AS trail FROM {PAGE_RESULTS_SQL} GROUP BY ALL""")
+def attempt_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = page_results(spark, sf_dir).select(
+        "doc_id", F.floor(F.col("seq") / 3).alias("page"), (F.col("seq") % 3 + 1).alias("attempt"), F.lit("first").alias("rung"), F.col("status").alias("verdict"), F.lit("stop").alias("finish"),
+        F.repeat(F.lit("x"), F.col("value").cast("int")).alias("text"),
+    )
+    line = F.transform("trail", lambda c: F.concat(c["attempt"].cast("string"), F.lit(":"), c["verdict"], F.lit(":"), c["chars"].cast("string")))
+    return quality.trails(a).select("doc_id", "page", F.array_join(line, " ").alias("trail"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, ts, seq, CASE WHEN status = 'failed' AND seq % 2 = 0 THEN 'fallback_ok' ELSE status END AS status FROM {PAGE_RESULTS_SQL}),
+d AS (SELECT doc_id, count(*) AS n, count_if(status IN ('failed', 'degenerate', 'transport_error')) AS bad, count_if(status = 'fallback_ok') AS rescued, arg_max(status, (ts, seq)) AS last FROM r GROUP BY doc_id)
+SELECT sum(n)::BIGINT AS pages, count(*) AS documents, round_even(sum(bad) / sum(n), 4) AS failed_share, round_even(sum(rescued) / sum(n), 4) AS rescued_share, count_if(last = 'transport_error') AS documents_down FROM d""")
+def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when((F.col("status") == "failed") & (F.col("seq") % 2 == 0), "fallback_ok").otherwise(F.col("status"))
+    return quality.health(page_results(spark, sf_dir).withColumn("status", status))
+
+
 @query()
 def fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a foreign model's pages: with wrong types, stray tags, cut off, or empty."""

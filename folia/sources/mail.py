@@ -106,3 +106,26 @@ def read_files(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFra
         "path", F.lit(None).cast("string").alias("doc_id"), "kind", "length", F.lit(None).cast("string").alias("text"), F.lit("over the size limit").alias("error")
     )
     return got.unionByName(large)
+
+
+PICTURE = T.ArrayType(arrow.struct(sheet=T.StringType(), index=T.IntegerType(), content=T.BinaryType()))
+
+
+@F.pandas_udf(PICTURE)
+def _pictures(content: pd.Series) -> pd.Series:
+    def of(raw):
+        try:
+            return [{"sheet": s, "index": k, "content": c} for s, k, c in sheets.pictures(bytes(raw))]
+        except Exception:  # a workbook that can't be read has no pictures, and its text says why
+            return []
+
+    return content.map(of)
+
+
+def workbook_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """path, doc_id, figure_id, sheet, index, content of each picture in a folder's workbooks, the first of each workbook."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    books = files.where(F.lower("path").rlike(r"\.xls[xm]$") & (F.col("length") <= MAX_UPLOAD))
+    got = books.select("path", doc_hash(F.col("content")).alias("doc_id"), F.explode(_pictures("content")).alias("p"))
+    key = F.concat("doc_id", F.lit("_embedded_f"), F.col("p.index").cast("string"))
+    return got.select("path", "doc_id", key.alias("figure_id"), "p.sheet", "p.index", "p.content")

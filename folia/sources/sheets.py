@@ -203,3 +203,19 @@ def workbook_markdown(raw: bytes) -> str:
             out.append(grid(data_rows(cells)))
         out += map(chart_markdown, charts)
     return "\n\n".join(out)
+
+
+#: Fixed value: pictures of a workbook that are taken.
+PICTURES = 20
+
+
+def pictures(raw: bytes, most: int = PICTURES) -> list[tuple[str, int, bytes]]:
+    """(sheet, index, content) of the pictures that a workbook's sheets show, in their order; a picture that several show counts once."""
+    book, seen, out = Workbook(raw), set(), []
+    for name, part in book.sheets.items():
+        for drawing in book._links(part, "/drawing").values():
+            for target in book._links(drawing, "/image").values():
+                if target not in seen and target in book.zip.namelist() and len(out) < most:
+                    seen.add(target)
+                    out.append((name, len(out) + 1, book.zip.read(target)))
+    return out

@@ -259,7 +259,13 @@ def test_structured(spark):
     t = spark.createDataFrame([], "doc_id int, page int, nth int, html string")
     f = spark.createDataFrame([(1, 1, 1, "cap")], "doc_id int, page int, nth int, caption string")
     got = json.loads(sinks.structured(d, c, t, f).first().json)
-    assert [x["content"] for x in got["semantic_chunks"]] == ["a", "a2", "b"] and got["tables"] is None and got["images"][0]["caption"] == "cap"
-    assert got["metadata"] == {"title": "T", "type": "paper", "id": 1, "source_pages": 2, "num_chunks": 3}
+    assert [x["content"] for x in got["semantic_chunks"]] == ["a", "a2", "b"] and got["tables"] == []
+    bare = {"caption": "cap", "description": None, "page": 1, "bbox": None, "format": None, "data": None}
+    assert got["images"] == [{"index": 1, **bare}] and got["summary"] == "S"
+    none = {"authors": None, "organization": None, "year": None, "file_path": None}
+    assert got["metadata"] == {"title": "T", "type": "paper", "doc_type": "paper", "id": 1, "source_pages": 2, "num_chunks": 3, **none}
+    f = spark.createDataFrame([(1, 2, 1, "late", None, "{}"), (1, 1, 1, "cap", bytearray(b"png"), None)], "doc_id int, page int, nth int, caption string, crop binary, chart_data string")
+    got = json.loads(sinks.structured(d.withColumn("summary", F.lit(None).cast("string")), c, t, f).first().json)
+    assert got["images"] == [{"index": 1, **bare, "format": "png", "data": "cG5n"}, {"index": 2, **bare, "caption": "late", "page": 2, "chart_data": "{}"}] and got["summary"] is None
     boxes = spark.createDataFrame([("[1, 2, 3, 4]",), ("[[5, 1], [9, 1], [9, 8], [5, 8]]",), ("[1, 2]",), (None,)], "b string")
     assert [r.e for r in boxes.select(document.box_of(F.col("b")).alias("e")).collect()] == [[1, 2, 3, 4], [5, 1, 9, 8], None, None]

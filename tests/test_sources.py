@@ -143,3 +143,25 @@ def test_folder(spark, tmp_path):
     assert got["a.txt"].text == "plain ü" and got["b.html"].text == "# T" and got["c.xlsx"].error.startswith("BadZipFile")
     assert got["e.md"].error == "over the size limit" and set(got) == {"a.txt", "b.html", "c.xlsx", "e.md"}
     assert len(got["a.txt"].doc_id) == 16
+
+
+def test_pictures(spark, tmp_path):
+    def book(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {NS}><sheets><sheet name="A" sheetId="1" r:id="rId1"/><sheet name="B" sheetId="2" r:id="rId2"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", rels(rId1=("worksheet", "worksheets/sheet1.xml"), rId2=("worksheet", "worksheets/sheet2.xml")))
+            for k in (1, 2):
+                z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {NS}><sheetData/></worksheet>")
+                z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", rels(rId1=("drawing", f"../drawings/drawing{k}.xml")))
+                z.writestr(f"xl/drawings/drawing{k}.xml", "<x/>")
+                z.writestr(f"xl/drawings/_rels/drawing{k}.xml.rels", rels(**{f"rId{j}": ("image", f"../media/image{j}.png") for j in range(n)}))
+            for j in range(n):
+                z.writestr(f"xl/media/image{j}.png", f"picture {j}")
+        return out.getvalue()
+
+    assert sheets.pictures(book(2)) == [("A", 1, b"picture 0"), ("A", 2, b"picture 1")] and len(sheets.pictures(book(25))) == 20
+    (tmp_path / "a.xlsx").write_bytes(book(1))
+    (tmp_path / "b.xlsm").write_bytes(b"broken")
+    got = mail.workbook_pictures(spark, str(tmp_path)).collect()
+    assert [(r.figure_id, r.sheet, bytes(r.content)) for r in got] == [(f"{got[0].doc_id}_embedded_f1", "A", b"picture 0")]
