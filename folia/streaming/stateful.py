@@ -1,6 +1,8 @@
 """Stateful operators over streams of completion pieces and of pages, and their batch forms.
 
-State is kept by key in the RocksDB state store; a key's state ends with its stream (a piece marked last)."""
+State is kept by key in the RocksDB state store; a key's state ends with its stream (a piece marked last). A stream that is
+broken off ends idle_ms after its last piece, if that is given; such queries run until they are stopped, since Spark
+starts batches for the clock alone."""
 
 from __future__ import annotations
 
@@ -16,8 +18,6 @@ from folia.streaming.guards import JsonCloseGuard, Limits, LoopGuard
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEY = ["doc_id", "page", "attempt"]
-#: State that no piece has touched for so long goes: its stream was broken off.
-IDLE_MS = 24 * 3600 * 1000
 FIRED = "doc_id bigint, page int, attempt int, guard string, at_chars bigint"
 
 
@@ -61,11 +61,11 @@ def compared(pieces: DataFrame, old: Limits, new: Limits) -> DataFrame:
 
 
 class _Guards(StatefulProcessor):
-    def __init__(self, limits: Limits):
-        self.limits = limits
+    def __init__(self, limits: Limits, idle_ms: int | None):
+        self.limits, self.idle_ms = limits, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("guards", "close string, loop string", ttlDurationMs=IDLE_MS)
+        self.state = handle.getValueState("guards", "close string, loop string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         close, loop = JsonCloseGuard(), LoopGuard(self.limits)
@@ -86,18 +86,25 @@ class _Guards(StatefulProcessor):
         pass
 
 
-def guarded(pieces: DataFrame, limits: Limits | None = None) -> DataFrame:
+def _mode(idle_ms: int | None) -> str:
+    return "ProcessingTime" if idle_ms else "None"
+
+
+def guarded(pieces: DataFrame, limits: Limits | None = None, idle_ms: int | None = None) -> DataFrame:
     """The guards over a stream of doc_id, page, attempt, seq, piece, last. Batches must bring a stream's pieces in
     order; within a batch they are sorted."""
     return pieces.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=_Guards(limits or Limits()), outputStructType=FIRED, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_Guards(limits or Limits(), idle_ms), outputStructType=FIRED, outputMode="Append", timeMode=_mode(idle_ms)
     )
 
 
 class _InOrder(StatefulProcessor):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "page int", ttlDurationMs=IDLE_MS)
-        self.held = handle.getMapState("held", "page int", "text string", ttlDurationMs=IDLE_MS)
+        self.next = handle.getValueState("next", "page int", self.idle_ms)
+        self.held = handle.getMapState("held", "page int", "text string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.next.get()[0] if self.next.exists() else 1
@@ -116,11 +123,11 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-def in_page_order(pages: DataFrame) -> DataFrame:
+def in_page_order(pages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Pages of a stream (doc_id, page, text) in order: page k waits until pages 1 to k - 1 have come; repeats of a
     page that has gone out are dropped."""
     return pages.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=_InOrder(), outputStructType="doc_id bigint, page int, text string", outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_InOrder(idle_ms), outputStructType="doc_id bigint, page int, text string", outputMode="Append", timeMode=_mode(idle_ms)
     )
 
 
@@ -128,11 +135,11 @@ class _Sections(StatefulProcessor):
     """Sections of a document whose pages come in order: paragraphs up to a number of tokens (four characters each),
     and each section starts with the last paragraphs of the one before."""
 
-    def __init__(self, limit: int, overlap: int):
-        self.limit, self.overlap = limit, overlap
+    def __init__(self, limit: int, overlap: int, idle_ms: int | None):
+        self.limit, self.overlap, self.idle_ms = limit, overlap, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "n int, paragraphs array<string>", ttlDurationMs=IDLE_MS)
+        self.held = handle.getValueState("held", "n int, paragraphs array<string>", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, held = self.held.get() if self.held.exists() else (0, [])
@@ -162,10 +169,10 @@ class _Sections(StatefulProcessor):
         pass
 
 
-def sections(pages: DataFrame, limit: int = 6000, overlap: int = 1000) -> DataFrame:
+def sections(pages: DataFrame, limit: int = 6000, overlap: int = 1000, idle_ms: int | None = None) -> DataFrame:
     """A stream of doc_id, page, text, last as sections: doc_id, section, text. What is left comes with the last page."""
     return pages.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=_Sections(limit, overlap), outputStructType="doc_id bigint, section int, text string", outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_Sections(limit, overlap, idle_ms), outputStructType="doc_id bigint, section int, text string", outputMode="Append", timeMode=_mode(idle_ms)
     )
 
 

@@ -295,3 +295,9 @@ def test_loop_periodic(spark, docs):
         whole = any(masked.endswith(masked[-p:] * 3) for p in range(1, min(len(masked) // 3, 400) + 1) if any(c.isalpha() for c in masked[-p:]))
         assert r.periodic == 0 or whole or len(masked) > 1200
         assert 0 <= r.repeated <= 8000 + len(docs[r.doc_id])
+
+
+def test_live_guard(spark):
+    """A stream is stopped where the replay of its stored pieces is."""
+    cols = lambda name: sorted((r.doc_id, r.guard, r.at_chars) for r in rows(spark, name))
+    assert cols("stream_live_guard") == cols("stream_guard")
