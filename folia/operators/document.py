@@ -212,3 +212,28 @@ def heading_fix(chunks: DataFrame, replies: DataFrame) -> DataFrame:
     pairs = new.select("doc_id", F.explode(F.arrays_zip("heads", "lines")).alias("p"))
     lines = pairs.select("doc_id", F.col("p.heads.chunk").alias("chunk"), F.col("p.heads.at").alias("at"), F.col("p.lines").alias("line"))
     return with_lines(chunks.select("doc_id", "chunk", "content"), lines)
+
+
+def text_fields(documents: DataFrame, chunks: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """doc_id, where, text: every text of a document's record that a source can check, one row a field, blank ones left out.
+
+    documents: doc_id, title, summary; units: doc_id, key and their texts (title, content; caption, html; caption, description)."""
+
+    def of(df: DataFrame, kind: str, *names: str) -> DataFrame:
+        key = F.concat(F.lit(f"{kind}:"), F.col("key")) if "key" in df.columns else F.lit(kind)
+        each = F.array(*[F.struct(F.concat(key, F.lit(f".{n}")).alias("where"), F.col(n).alias("text")) for n in names if n in df.columns])
+        return df.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.where", "f.text")
+
+    parts = [of(documents, "document", "title", "summary"), of(chunks, "chunk", "title", "content"), of(tables, "table", "caption", "html", "description"), of(figures, "figure", "caption", "description")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("text").rlike(r"(?U)\S"))
+
+
+def with_fields(units: DataFrame, kind: str, fields: DataFrame, *names: str) -> DataFrame:
+    """Units (doc_id, key, ...) whose named texts are those of fields (see text_fields()), where these have them: one join."""
+    own = fields.where(F.col("where").startswith(f"{kind}:")).select("doc_id", F.regexp_extract("where", rf"^{kind}:(.*)\.(\w+)$", 1).alias("key"), F.regexp_extract("where", r"\.(\w+)$", 1).alias("name"), "text")
+    new = own.groupBy("doc_id", "key").agg(*[F.max(F.when(F.col("name") == n, F.col("text"))).alias(f"new_{n}") for n in names])
+    both = units.join(new, ["doc_id", "key"], "left")
+    return both.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in names else F.col(c) for c in units.columns])

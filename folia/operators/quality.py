@@ -258,3 +258,13 @@ def nearest_tokens(unknown: DataFrame, source: DataFrame) -> DataFrame:
     best = near.groupBy("doc_id", "token").agg(F.min("distance").alias("distance"), F.min(F.struct("distance", "cand")).alias("b"), F.collect_set(F.struct("distance", "cand")).alias("all"))
     ties = F.size(F.filter("all", lambda x: x["distance"] == F.col("distance"))) > 1
     return best.select("doc_id", "token", F.col("b.cand").alias("closest"), "distance", ties.alias("ambiguous"))
+
+
+def guard_report(compared: DataFrame) -> DataFrame:
+    """compared: label, old, new (which guard stopped a text, null for none). label, old, new, n, and of each label in all how many
+    only one of the two stopped. A text that is labelled clean and stopped is a false alarm, a loop that is not is a miss."""
+    none = lambda c: F.coalesce(F.col(c), F.lit("-")).alias(c)
+    n = compared.select("label", none("old"), none("new")).groupBy("label", "old", "new").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("label")
+    only = lambda a, b: F.sum(F.when((F.col(a) != "-") & (F.col(b) == "-"), F.col("n")).otherwise(0)).over(whole)
+    return n.withColumn("old_only", only("old", "new")).withColumn("new_only", only("new", "old"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folia.functions import arrow, prompts
 from folia.functions import columns as C
-from folia.operators import document, pages, quality, summary, tables
+from folia.operators import assembly, document, pages, quality, summary, tables
 from folia.plans.python_queries import _pieces
 from folia.sources.tables import FRAGMENTS_SQL, PAGE_RESULTS_SQL, fragments, page_results, table, turn_pages
 from folia.streaming import stateful
@@ -213,3 +213,72 @@ def guard_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as streams, under the windows of old and under those that measure periods and repeats."""
     new = Limits(window=1000, every=400, ratio=8.0, periodic=3000, counter=6000, numeric=600, repeated=4000)
     return stateful.compared(_pieces(spark, sf_dir), Limits(window=1000, every=400, ratio=8.0), new).drop("page", "attempt")
+
+
+@query(f"""SELECT coalesce(lang, '?') AS label, "old", "new", n, sum(CASE WHEN "old" <> '-' AND "new" = '-' THEN n ELSE 0 END) OVER (PARTITION BY label)::BIGINT AS old_only,
+  sum(CASE WHEN "new" <> '-' AND "old" = '-' THEN n ELSE 0 END) OVER (PARTITION BY label)::BIGINT AS new_only FROM (SELECT lang, label, "old", "new", count(*) AS n FROM (SELECT coalesce(lang, '?') AS lang, coalesce(lang, '?') AS label,
+  CASE WHEN length(text) % 7 = 0 THEN 'window' ELSE '-' END AS "old", CASE WHEN length(text) % 5 = 0 THEN 'periodic' ELSE '-' END AS "new" FROM documents) GROUP BY ALL)""")
+def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    d = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("label"), F.when(n % 7 == 0, "window").alias("old"), F.when(n % 5 == 0, "periodic").alias("new"))
+    return quality.guard_report(d)
+
+
+@query("""SELECT event_type, message, CASE WHEN message LIKE '%memory%' THEN 'oom' WHEN message LIKE '%timed out%' THEN 'timeout' WHEN message LIKE '%refused%' THEN 'connection' WHEN message LIKE '%JSON%' THEN 'parse'
+  WHEN message LIKE '%disk full%' THEN 'disk_full' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT event_type, ['CUDA Out Of memory', 'read timed out', 'Connection refused', 'JSON is not closed', 'disk full', 'unlikely'][event_id % 6 + 1] AS message FROM events) GROUP BY ALL""")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ["CUDA Out Of memory", "read timed out", "Connection refused", "JSON is not closed", "disk full", "unlikely"])), (F.col("event_id") % 6 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_type", said.alias("message"))
+    return e.select("event_type", "message", C.error_class(F.col("message")).alias("kind")).groupBy("event_type", "message", "kind").agg(F.count("*").alias("n"))
+
+
+def _record(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Turns as pages with a chunk each, a table on every third, and a figure on every second, whose page may not exist."""
+    t = turn_pages(spark, sf_dir).withColumn("nth", F.lit(1))
+    chunks = t.select("doc_id", "page", "nth", F.when(F.col("page") % 4 != 0, F.col("role")).alias("title"), F.col("text").alias("content"))
+    held = t.where("page % 3 = 0").select("doc_id", "page", "nth", F.concat(F.lit("<table><tr><td>"), F.length("text").cast("string"), F.lit("</td></tr></table>")).alias("html"), F.lit("Table").alias("caption"))
+    figures = t.where("page % 2 = 0").select(
+        "doc_id", F.when(F.col("page") % 8 == 0, F.col("page") + 1000).otherwise(F.col("page")).alias("page"), "nth", F.col("page").alias("index"),
+        F.when(F.col("page") % 4 == 0, F.lit("c.png")).alias("crop_path"), F.when(F.col("page") % 6 != 0, F.col("role")).alias("caption"),
+    )
+    return t.select("doc_id", "page"), chunks, held, figures
+
+
+@query(r"""
+WITH t AS (SELECT conv_id AS doc_id, turn + 1 AS page, role, text FROM conversations), top AS (SELECT doc_id, max(page) + 1 AS after FROM t GROUP BY ALL),
+u AS (SELECT doc_id, page, 0 AS kind, page AS home, CASE WHEN page % 4 <> 0 AND role <> '' THEN '## ' || role || E'\n\n' ELSE '' END || text AS s FROM t
+  UNION ALL SELECT doc_id, page, 1, page, '<table><tr><td>' || length(text) || '</td></tr></table>' FROM t WHERE page % 3 = 0
+  UNION ALL SELECT doc_id, page, 2, CASE WHEN page % 8 = 0 THEN page + 1000 ELSE page END, CASE WHEN page % 4 = 0 THEN '![' || CASE WHEN page % 6 <> 0 THEN role ELSE '' END || '](img:' || page || ')'
+    ELSE '[Figure: ' || CASE WHEN page % 6 <> 0 THEN role ELSE 'untitled' END || ']' END FROM t WHERE page % 2 = 0),
+p AS (SELECT t.doc_id, t.page, coalesce(string_agg(s, E'\n\n' ORDER BY kind) FILTER (WHERE s <> ''), '') AS body FROM t LEFT JOIN u ON t.doc_id = u.doc_id AND t.page = u.home GROUP BY ALL
+  UNION ALL SELECT u.doc_id, after, string_agg(s, E'\n\n' ORDER BY home, kind) FROM u JOIN top ON u.doc_id = top.doc_id WHERE home > 1000 GROUP BY ALL)
+SELECT doc_id, string_agg('<page ' || page || E'>\n' || body || E'\n</page ' || page || '>', E'\n\n' ORDER BY page) AS markdown FROM p GROUP BY doc_id
+""".replace("\\n", "\n"))
+def render_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with chunks, tables and figures, and figures of pages that the document does not have behind them."""
+    known, chunks, held, figures = _record(spark, sf_dir)
+    return assembly.rendered(known, document.markdown_units(chunks, held, figures))
+
+
+@query("""
+WITH t AS (SELECT conv_id AS doc_id, turn + 1 AS page, role, text FROM conversations),
+f AS (SELECT doc_id, 'chunk:p' || page || '.title' AS "where", CASE WHEN page % 4 <> 0 THEN role END AS text FROM t UNION ALL SELECT doc_id, 'chunk:p' || page || '.content', text FROM t
+  UNION ALL SELECT doc_id, 'table:p' || page || '.caption', 'Table' FROM t WHERE page % 3 = 0 UNION ALL SELECT doc_id, 'table:p' || page || '.html', '<table><tr><td>' || length(text) || '</td></tr></table>' FROM t WHERE page % 3 = 0
+  UNION ALL SELECT doc_id, 'figure:p' || CASE WHEN page % 8 = 0 THEN page + 1000 ELSE page END || '.caption', CASE WHEN page % 6 <> 0 THEN role END FROM t WHERE page % 2 = 0
+  UNION ALL SELECT doc_id, 'document.title', min(role) FROM t GROUP BY doc_id)
+SELECT doc_id, "where", text FROM f WHERE regexp_matches(text, '\\S')
+""")
+def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, *units = _record(spark, sf_dir)
+    keyed = [u.withColumn("key", F.concat(F.lit("p"), F.col("page").cast("string"))) for u in units]
+    titles = turn_pages(spark, sf_dir).groupBy("doc_id").agg(F.min("role").alias("title")).withColumn("summary", F.lit(None).cast("string"))
+    return document.text_fields(titles, *keyed)
+
+
+@query()
+def postprocess_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean-up with the passes that compare lines and paragraphs: the first lines of a text stand behind it again."""
+    head = F.slice(F.split("text", "\n"), 1, 12)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", F.array_join(head, "\n")).alias("text"))
+    made = d.withColumn("clean", arrow.deduplicated("text"))
+    return made.select("doc_id", F.length("text").alias("n_before"), F.length("clean").alias("n_after"), F.md5("clean").alias("md5"))

@@ -301,3 +301,32 @@ def test_live_guard(spark):
     """A stream is stopped where the replay of its stored pieces is."""
     cols = lambda name: sorted((r.doc_id, r.guard, r.at_chars) for r in rows(spark, name))
     assert cols("stream_live_guard") == cols("stream_guard")
+
+
+def test_postprocess_dedup(spark, docs):
+    """A block of three lines or more that was said before does not stand behind the text again."""
+    from folia.functions import markdown
+
+    shorter = 0
+    for r in rows(spark, "postprocess_dedup"):
+        text = docs[r.doc_id] + "\n" + "\n".join(docs[r.doc_id].split("\n")[:12])
+        clean = markdown.postprocess(text, True)
+        assert (r.n_before, r.n_after, r.md5) == (len(text), len(clean), md5(clean))
+        shorter += len(clean) < len(markdown.postprocess(text))
+    assert shorter > 10
+
+
+def test_fields_of_a_record(spark):
+    from folia.operators import document
+
+    d = spark.createDataFrame([(1, "T", " ")], "doc_id int, title string, summary string")
+    c = spark.createDataFrame([(1, "p1_c1", "head", "FooBar is"), (1, "p1_c2", None, "x")], "doc_id int, key string, title string, content string")
+    t = spark.createDataFrame([(1, "t.1", "cap", "<td>FooBar</td>")], "doc_id int, key string, caption string, html string")
+    f = document.text_fields(d, c, t, t.limit(0).drop("html"))
+    got = {r["where"]: r.text for r in f.collect()}
+    assert got == {"document.title": "T", "chunk:p1_c1.title": "head", "chunk:p1_c1.content": "FooBar is", "chunk:p1_c2.content": "x", "table:t.1.caption": "cap", "table:t.1.html": "<td>FooBar</td>"}
+    from pyspark.sql import functions as F
+
+    fixed = f.withColumn("text", F.replace("text", F.lit("FooBar"), F.lit("fooBar")))
+    assert sorted(map(tuple, document.with_fields(c, "chunk", fixed, "title", "content").collect())) == [(1, "p1_c1", "head", "fooBar is"), (1, "p1_c2", None, "x")]
+    assert document.with_fields(t, "table", fixed, "html").first().html == "<td>fooBar</td>"
