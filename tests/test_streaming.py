@@ -75,3 +75,27 @@ def test_sections_of_a_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id bigint, page int, text string, last boolean, arrives int")
     got = run(spark, df, lambda s: stateful.sections(s.drop("arrives"), 30, 10), tmp_path, 3)
     assert [r.text for r in sorted(got, key=lambda r: r.section)] == ["\n\n".join(paras[:3]), "\n\n".join(paras[2:5])]
+
+
+def test_heartbeats(spark, tmp_path):
+    import time
+
+    from folia.streaming.progress import Heartbeats
+
+    told: list[dict] = []
+    beats = Heartbeats(told.append, kept=2)
+    spark.streams.addListener(beats)
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+        lines = spark.readStream.text(str(tmp_path / "in"))
+        run = lines.writeStream.format("memory").queryName("heartbeats").trigger(availableNow=True).start()
+        run.awaitTermination()
+        for _ in range(100):
+            if any(b["event"] == "ended" for b in told):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(beats)
+    assert [b["event"] for b in told][0] == "started" and told[-1]["event"] == "ended" and told[-1]["error"] is None
+    assert sum(b.get("rows", 0) for b in told) == 2 and beats.live() == {} and len(beats.history(str(run.runId))) == 2
