@@ -253,7 +253,7 @@ u AS (SELECT doc_id, page, 0 AS kind, page AS home, CASE WHEN page % 4 <> 0 AND
 p AS (SELECT t.doc_id, t.page, coalesce(string_agg(s, E'\n\n' ORDER BY kind) FILTER (WHERE s <> ''), '') AS body FROM t LEFT JOIN u ON t.doc_id = u.doc_id AND t.page = u.home GROUP BY ALL
   UNION ALL SELECT u.doc_id, after, string_agg(s, E'\n\n' ORDER BY home, kind) FROM u JOIN top ON u.doc_id = top.doc_id WHERE home > 1000 GROUP BY ALL)
 SELECT doc_id, string_agg('<page ' || page || E'>\n' || body || E'\n</page ' || page || '>', E'\n\n' ORDER BY page) AS markdown FROM p GROUP BY doc_id
-""".replace("\\n", "\n"))
+""")
 def render_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with chunks, tables and figures, and figures of pages that the document does not have behind them."""
     known, chunks, held, figures = _record(spark, sf_dir)
