@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import cut, stored
+from folia.llm.common import bound_batches, cut, stored
 
 #: Fixed values of HTML: elements that break lines, that have no end tag, whose content is no markup, and that end
 #: an open element of the given kinds.
@@ -283,6 +283,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     each get a row, and so do pages of null page_id. A host of one page is its own template. Pages of any length and depth
     are read whole, in time that grows with their length. An empty table gives no rows; other columns are left out.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
     found = cut(classes(templates(rows)))
     tokens = found.agg(F.sum(F.size("frame") + F.size("fixed"))).first()[0] or 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -20,8 +21,9 @@ BYTE_LEVEL = re.compile(
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 #: What a special token can start with; a text with it is encoded as a whole.
 SPECIAL = "<|"
-#: Pre-tokens that a worker remembers; then it forgets all and starts anew.
-REMEMBERED = 400_000
+#: What a worker remembers of a function; then it forgets all and starts anew. Encoded pre-tokens are dearer to work out again.
+REMEMBERED = 1 << 17
+ENCODED = 400_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -67,12 +69,24 @@ class PreTokens:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
+_REMEMBERED: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empties all that this worker remembers, before a task that needs the memory."""
+    for held in list(_REMEMBERED):
+        held.clear()
+
+
 class Remembered(dict):
     """A function's values, held until there are too many."""
 
+    __hash__ = object.__hash__
+
     def __init__(self, of: Callable, most: int = REMEMBERED):
         super().__init__()
         self.of, self.most = of, most
+        _REMEMBERED.add(self)
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -86,7 +100,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokens = PreTokens(path)
-        self.packed = Remembered(lambda p: np.array(self.tokens.ids(p), "<u4").tobytes())
+        self.packed = Remembered(lambda p: np.array(self.tokens.ids(p), "<u4").tobytes(), ENCODED)
 
     def encode(self, text: str) -> np.ndarray:
         pieces = self.tokens.pieces(text)

@@ -7,8 +7,9 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folia.llm.common import alnum_words, text_only
-from folia.llm.tokens import Remembered
+from folia.llm.tokens import Remembered, forget
 
 #: Labelled rows that the fit takes at most (a documented bound; up to half of them toxic), chosen by a hash of
 #: doc_id over all labelled rows.
 FIT_ROWS = 8000
+#: n-grams that the fit sums up at a time.
+PART = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -66,35 +69,66 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))[:-1]
 
 
+class _Grams:
+    """The n-grams of each word, one after another. They are many, so sums over them go a part at a time."""
+
+    def __init__(self, flat: np.ndarray, held: np.ndarray):
+        self.flat, self.held = flat, held
+        self.upto = np.concatenate(([0], np.cumsum(held)))
+
+    def _parts(self) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Words, their n-grams, and how many each has."""
+        cuts = np.searchsorted(self.upto, np.arange(0, len(self.flat), PART)).tolist()
+        for i, j in pairwise(sorted({0, *cuts, len(self.held)})):
+            yield slice(i, j), slice(self.upto[i], self.upto[j]), self.held[i:j]
+
+    def by_word(self, value: np.ndarray, each: bool = False) -> np.ndarray:
+        """Sums by word of the values of its n-grams' buckets or, with each, of a value for each n-gram."""
+        out = np.zeros(len(self.held))
+        for words, grams, n in self._parts():
+            out[words] = np.bincount(np.repeat(np.arange(len(n)), n), value[grams] if each else value[self.flat[grams]], len(n))
+        return out
+
+    def by_bucket(self, value: np.ndarray, buckets: int) -> np.ndarray:
+        """Sums by bucket of the values of words."""
+        out = np.zeros(buckets)
+        for words, grams, n in self._parts():
+            out += np.bincount(self.flat[grams], np.repeat(value[words], n), buckets)
+        return out
+
+    def where(self, keep: np.ndarray) -> _Grams:
+        return _Grams(self.flat[keep], self.by_word(keep, True).astype(np.int64))
+
+
 class _Bags:
     """Segments of words, words of n-grams: means over both, and how a change of the means comes back."""
 
-    def __init__(self, flat, held, size, word, lengths):
-        self.flat, self.held, self.size, self.word, self.lengths = flat, held, size, word, lengths
-        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), held)
-        self.first, self.of = _starts(lengths), np.repeat(np.arange(len(lengths)), lengths)
+    def __init__(self, grams: _Grams, size: np.ndarray, word: np.ndarray, lengths: np.ndarray):
+        self.grams, self.size, self.word, self.lengths = grams, size, word, lengths
+        self.first, self.of = _starts(lengths), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
     def means(self, value: np.ndarray) -> np.ndarray:
-        by_type = np.bincount(self.owner, value[self.flat], len(self.size)) / self.size
+        by_type = self.grams.by_word(value) / self.size
         return np.add.reduceat(by_type[self.word], self.first) / self.lengths
 
     def back(self, error: np.ndarray, buckets: int) -> np.ndarray:
         by_type = np.bincount(self.word, (error / self.lengths)[self.of], len(self.size)) / self.size
-        return np.bincount(self.flat, by_type[self.owner], buckets)
+        return self.grams.by_bucket(by_type, buckets)
 
     def thinned(self, keep: np.ndarray) -> _Bags:
         """Some of the n-grams of each word, averaged as if they were all."""
-        held = np.bincount(self.owner[keep], minlength=len(self.size))
-        size = np.maximum(1, self.size * (held / np.maximum(1, self.held)))
-        return _Bags(self.flat[keep], held, size, self.word, self.lengths)
+        grams = self.grams.where(keep)
+        return _Bags(grams, np.maximum(1, self.size * (grams.held / np.maximum(1, self.grams.held))), self.word, self.lengths)
 
     def only(self, rows: np.ndarray) -> _Bags:
         """These segments, and the words in them."""
-        at = np.concatenate([np.arange(a, a + n) for a, n in zip(self.first[rows].tolist(), self.lengths[rows].tolist(), strict=True)])
+        n = self.lengths[rows]
+        at = np.repeat(self.first[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         types, word = np.unique(self.word[at], return_inverse=True)
         keep = np.zeros(len(self.size), bool)
         keep[types] = True
-        return _Bags(self.flat[keep[self.owner]], self.held[types], self.size[types], word, self.lengths[rows])
+        grams = _Grams(self.grams.flat[np.repeat(keep, self.grams.held)], self.grams.held[types])
+        return _Bags(grams, self.size[types], word, n)
 
 
 def fit(docs: Iterable[list[bytes]], labels: np.ndarray, s: Settings = Settings()) -> Model:
@@ -122,20 +156,18 @@ def fit(docs: Iterable[list[bytes]], labels: np.ndarray, s: Settings = Settings(
         own = ngrams(w, s)
         grams.extend(own)
         size.append(len(own))
-    flat, size = np.frombuffer(grams, np.int32), np.frombuffer(size, np.int32)
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     del types
+    every, size = _Grams(np.frombuffer(grams, np.int32), np.frombuffer(size, np.int32)), np.frombuffer(size, np.int32)
     # an n-gram counts once enough documents' words have it
-    seen = np.bincount(flat, np.bincount(np.concatenate([np.unique(a) for a in at]))[owner].astype(np.float32), s.buckets)
-    known = seen[flat] >= s.seen
-    flat, owner = flat[known], owner[known]
+    seen = every.by_bucket(np.bincount(np.concatenate([np.unique(a) for a in at])), s.buckets)
+    known = every.where((seen >= s.seen)[every.flat])
+    del grams, every
     part = [-(-len(a) // s.segment) for a in at]
     doc = np.repeat(np.arange(len(at)), part)
     lengths = np.concatenate([np.minimum(s.segment, len(a) - np.arange(0, len(a), s.segment)) for a in at])
     word = np.concatenate(at)
     doc_first = _starts(np.array(part))
-    held = np.bincount(owner, minlength=len(size))
-    bags = _Bags(flat, held, np.maximum(np.maximum(held, 1), size * s.known), word, lengths)
+    bags = _Bags(known, np.maximum(np.maximum(known.held, 1), size * s.known), word, lengths)
     whole, target, weight = bags, y[doc], (1 / np.array(part))[doc] / len(at)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
     for step in range(s.steps):
@@ -146,7 +178,7 @@ def fit(docs: Iterable[list[bytes]], labels: np.ndarray, s: Settings = Settings(
             shared = np.bincount(doc[rows], minlength=len(at))[doc[rows]]
             bags, target = whole.only(rows), y[doc[rows]]
             weight = np.where(target > 0, 1 / shared, 1.0) / len(at)
-            bags = bags.thinned(rng.random(len(bags.flat)) >= s.drop)
+            bags = bags.thinned(rng.random(len(bags.grams.flat), np.float32) >= s.drop)
         out = softmax[:, 1] - softmax[:, 0]
         logit = bags.means(vectors @ out) + (bias[1] - bias[0])
         error = (1 / (1 + np.exp(-logit)) - target) * weight
@@ -220,9 +252,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, s: Se
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches):
+        forget()
         rows = pa.Table.from_batches(batches, pa.schema([("doc_id", id_type), ("text", pa.binary()), ("toxic", pa.int64())]))
         rows = rows.sort_by("doc_id")
-        m = fit((lowered(t.as_py()) for t in rows["text"]), rows["toxic"].to_numpy(), s)
+        words, labels = (lowered(t.as_py()) for t in rows["text"]), rows["toxic"].to_numpy().copy()
+        del rows  # the fit lets go of the texts once it has numbered their words
+        m = fit(words, labels, s)
         used = np.flatnonzero(m.vectors.any(axis=1))
         yield pa.RecordBatch.from_pylist(
             [{"used": used.astype("<i4").tobytes(), "vectors": m.vectors[used].tobytes(), "softmax": m.softmax.tobytes(), "bias": m.bias.tobytes()}]

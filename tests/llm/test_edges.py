@@ -99,12 +99,9 @@ def test_token_files(docs, none):
     order = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in order] == sorted((i for i, _ in ROWS), key=lambda i: (i is not None, i or 0))
     assert {r.n_tokens for r in got if r.doc_id in (3, 4)} == {1}
-    # more files, cut by ids and by documents: the same documents in the same order
-    for bounds in ({"file_ids": 1000}, {"file_docs": 3}):
-        several = token_files.write_token_files(docs, BYTES, 2, **bounds)
-        assert len(several) > 1 and listed(token_files.read_token_files(docs, several), "doc_id", "start", "n_tokens", "ids_crc32") == listed(
-            token_files.read_token_files(docs, shards), "doc_id", "start", "n_tokens", "ids_crc32"
-        )
+    several = token_files.write_token_files(docs, BYTES, 2, file_docs=3)  # the same documents in the same order
+    cols = ("doc_id", "start", "n_tokens", "ids_crc32")
+    assert len(several) > 1 and listed(token_files.read_token_files(docs, several), *cols) == listed(token_files.read_token_files(docs, shards), *cols)
     assert token_files.write_token_files(none, BYTES, 2) == [] and token_files.read_token_files(none, []).count() == 0
 
 
@@ -355,3 +352,24 @@ def test_html_classes(spark):
     got = {r.page_id: r.text for r in html_main.main_texts(df).collect()}
     assert [got[k] for k in range(5)] == [f"Head {k}\nRelated {k}\nText {k}" for k in range(5)]
     assert got[None] == "deep text" and got[9] == "end" and time.time() - began < 60
+
+
+def test_remembered():
+    from folia.llm.tokens import Remembered, forget
+
+    asked: list = []
+    held = Remembered(lambda x: asked.append(x) or len(x), most=2)
+    assert [held[x] for x in ("a", "bb", "a", "ccc", "a")] == [1, 2, 1, 3, 1] and asked == ["a", "bb", "ccc", "a"]
+    forget()
+    assert held["a"] == 1 and asked[-2:] == ["a", "a"]
+
+
+def test_batches_end_by_bytes(spark, docs):
+    """A worker never gets more than a few texts of a megabyte at once."""
+    import pyarrow as pa
+
+    from folia.llm.common import BATCH_BYTES, text_only
+
+    rows = text_only(spark.range(24).selectExpr("id as doc_id", "repeat('x', 1 << 20) as text").repartition(1))
+    sizes = rows.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [sum(len(x.as_py()) for x in b.column("text"))]}) for b in bs), "n bigint, size bigint").collect()
+    assert sum(r.n for r in sizes) == 24 and max(r.size for r in sizes) <= BATCH_BYTES + (1 << 20)
