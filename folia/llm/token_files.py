@@ -7,6 +7,7 @@ of ids is read from its blocks alone, and unpacked by numpy without a loop over
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import struct
 import uuid
@@ -27,8 +28,11 @@ from folia.llm.tokens import encoder
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids a block, ids, documents, place of the offsets, of the documents
 MAGIC = b"IDPACK01"
-#: Ids of a document that are handled at a time when it is read.
+#: Ids of a document, and documents, that are handled at a time when they are read.
 READ_IDS = 1 << 22
+READ_DOCS = 1 << 16
+#: Documents of a file.
+FILE_DOCS = 1 << 14
 
 
 def bits_for(size: int) -> int:
@@ -148,12 +152,14 @@ class Shard:
     start: int  # ids in all files before it
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, uri: str | None = None) -> list[Shard]:
-    """Encodes every whole text, appends end_id and writes the ids in ascending doc_id order, a file a task.
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, uri: str | None = None, file_docs: int = FILE_DOCS) -> list[Shard]:
+    """Encodes every whole text, appends end_id and writes the ids in ascending doc_id order, about file_docs documents a file.
+
+    Texts move once, compressed, to the task that encodes and writes them: their ids would take as much (521 MB against 559 on
+    half a GB), and would have to be stored first, since a range partitioning reads its input twice.
 
     A null text counts as empty, a null doc_id comes first, rows of equal doc_id follow each other in the order of
-    their bytes. doc_id has to be an integer. The list has an entry a file that is not empty; its length is that of
-    the write's tasks. An empty table writes nothing. The folder has to be one that all executors reach.
+    their bytes. doc_id has to be an integer. The list has an entry a file that is not empty. An empty table writes nothing. The folder has to be one that all executors reach.
     """
     spark = docs.sparkSession
     uri = uri or fresh_path(spark, "token-files")
@@ -163,15 +169,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, uri:
         end = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
         name = f"{uri}/{TaskContext.get().partitionId():08d}.ids"
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 writer = writer or Writer(name, bits_for(max(enc.tokens.library.get_vocab_size(), (end_id or 0) + 1)))
-                writer.add(doc_id, np.concatenate((enc.encode(text.decode()), end)))
+                writer.add(doc_id, np.concatenate((enc.encode(text.as_py().decode()), end)))
         if writer:
             n, ids = writer.close()
             yield pa.RecordBatch.from_pylist([{"uri": name, "docs": n, "ids": ids}])
 
     ordered = text_only(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    files = max(1, -(-docs.count() // file_docs))
+    ordered = ordered.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(run, "uri string, docs bigint, ids bigint").collect())
     starts = np.cumsum([0, *(r.ids for r in rows)]).tolist()
     return [Shard(r.uri, r.docs, r.ids, s) for r, s in zip(rows, starts, strict=False)]
@@ -195,8 +202,9 @@ def read_token_files(docs: DataFrame, shards: list[Shard]) -> DataFrame:
     def run(batches):
         for b in batches:
             for k in b.column("id").to_pylist():
-                rows = list(zip(*_documents(shards[k]), strict=True))
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
+                rows = _documents(shards[k])
+                while part := list(itertools.islice(rows, READ_DOCS)):
+                    cols = [pa.array(c, pa.int64()) for c in zip(*part, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(run, schema)
