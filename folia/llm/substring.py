@@ -24,7 +24,7 @@ ROWS = 2
 TEXT_BYTES = 16
 MOST_CELLS = 1 << 28
 LEAST_CELLS = 1 << 16
-#: Cells of the bitmap that names places of runs, for each place.
+#: Cells of each row of the bitmap that names places of runs, for each place.
 PLACE_CELLS = 16
 #: Bytes of text for which a sketch of MOST_CELLS is not too full; beyond them anchors are counted in a shuffle.
 SKETCHED = 40 * MOST_CELLS
@@ -318,9 +318,9 @@ def _opened(docs: DataFrame, reps: DataFrame, window: int, most: int) -> DataFra
 
         def fill(batches):
             for b in batches:
-                yield from _touched(_place_hash(b.column("row_key").to_numpy(), b.column("first").to_numpy()), 1, width)
+                yield from _touched(_place_hash(b.column("row_key").to_numpy(), b.column("first").to_numpy()), ROWS, width)
 
-        marked = _marked(reps.select("row_key", "first").mapInArrow(fill, TOUCHED), 1, width, 1)
+        marked = _marked(reps.select("row_key", "first").mapInArrow(fill, TOUCHED), ROWS, width, 1)
         shared = docs.sparkSession.sparkContext.broadcast(marked)
     else:
         shared = None
