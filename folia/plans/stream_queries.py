@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.sources.sinks import fresh_path
 from folia.sources.tables import EVENT_STATUS
 from folia.streaming import stateful
 from folia.streaming.guards import Limits
@@ -41,12 +40,25 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may name a file as well as a folder
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream has put out once its input is used up."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def finished(stream: DataFrame, mode: str, reader: SparkSession | None = None) -> DataFrame:
+    """What the stream has put out once its input is used up, as a table in the shared folder: a memory sink would hold all of
+    it in the driver. A complete batch stands for those before it. reader: the session that reads the table."""
+    spark = stream.sparkSession
+    out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    written: list[str] = []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{k}")
+        if mode == "complete":
+            written.clear()
+        written.append(f"{out}/{k}")
+
+    run = stream.writeStream.foreachBatch(put).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(state)
+    gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
+    reader = reader or spark
+    return reader.read.schema(stream.schema).parquet(*written) if written else reader.createDataFrame([], stream.schema)
 
 
 @query("""SELECT doc_id, w AS since, count(*) FILTER (WHERE event_type = 'error') AS errors FROM (SELECT user_id AS doc_id, event_type, unnest([time_bucket(INTERVAL 1440 SECONDS, ts) - to_seconds(1440 * k) for k in range(0, 5)]) AS w, ts
@@ -55,8 +67,9 @@ def stream_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors in windows of two hours, every 24 minutes."""
     e = source(session(spark), sf_dir, "events")
     kind = F.create_map(*[F.lit(x) for kv in EVENT_STATUS.items() for x in kv])[F.col("event_type")]
-    made = stateful.recent_error_counts(e.select(F.col("user_id").alias("doc_id"), "ts", kind.alias("status")), 7200)
-    return finished(made, "complete").select("doc_id", F.col("w.start").cast("timestamp_ntz").alias("since"), "errors")
+    made = stateful.recent_error_counts(e.select(F.col("user_id").alias("doc_id"), "ts", kind.alias("status")), 7200, sliding=False)
+    parts = finished(made.select("doc_id", F.col("w.start").cast("timestamp_ntz").alias("since"), "errors"), "complete", spark)
+    return stateful.slid(parts, 7200)
 
 
 @query("SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page, text FROM conversations")

@@ -209,10 +209,26 @@ def sections(pages: DataFrame, limit: int = 6000, overlap: int = 1000, idle_ms:
     )
 
 
-def recent_error_counts(results: DataFrame, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
-    """Errors of each document in sliding windows of event time, with a watermark that bounds the state."""
+#: Parts of a window by which windows slide.
+PARTS = 5
+
+
+def recent_error_counts(results: DataFrame, seconds: int = 300, late: str = "10 minutes", sliding: bool = True) -> DataFrame:
+    """Errors of each document in windows of event time that slide by a fifth, with a watermark that bounds the state. Not
+    sliding: in the fifths alone, each result in one of them instead of five windows; slid() adds them up."""
     from pyspark.sql import functions as F
 
-    windows = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds", f"{seconds // 5} seconds")
+    part = f"{seconds // PARTS} seconds"
+    windows = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds" if sliding else part, part)
     dated = results.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return dated.groupBy("doc_id", windows.alias("w")).agg(F.count_if(F.col("status") == "transport_error").alias("errors"))
+
+
+def slid(parts: DataFrame, seconds: int = 300) -> DataFrame:
+    """doc_id, since, errors of the fifths of windows, by their start, as those of the sliding windows that hold any of them."""
+    from pyspark.sql import functions as F
+
+    if seconds % PARTS:
+        raise ValueError(f"a window of {seconds} seconds is not {PARTS} equal parts")
+    starts = F.array(*[F.col("since") - F.make_dt_interval(secs=F.lit(k * (seconds // PARTS))) for k in range(PARTS)])
+    return parts.select("doc_id", F.explode(starts).alias("since"), "errors").groupBy("doc_id", "since").agg(F.sum("errors").alias("errors"))
